@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("encoding", "mixing", "splitting")
+_MODULES = ("encoding", "lookalikes", "mixing", "splitting")
 
 
 def _collect(attribute: str) -> dict:
