@@ -41,6 +41,21 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
+def materialise(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a compressed table in the shared checkpoint folder and read it back.
+
+    Cuts the lineage like a checkpoint, at a fraction of its size, and later reads prune columns.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    base = spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    path = f"{base}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def small_rows(df: DataFrame, bound: int = _SMALL_ROWS) -> list:
     """Collect a parameter table, refusing one that is larger than ``bound`` rows."""
     rows = df.limit(bound + 1).collect()
