@@ -1,18 +1,23 @@
 """Problem 6: one consistent form for text that looks the same but holds different characters.
 
-Method: the vocabulary is every token of texts written in plain characters, with its frequency.  Each
-token of the other texts traverses a trie of that vocabulary with a weighted edit automaton, in which
+Method: the vocabulary is every token of values written in plain characters, with its frequency.  Each odd
+token of the other values traverses a trie of that vocabulary with a weighted edit automaton, in which
 look-alike units cost nothing and ignorable characters cost nothing to skip (any other edit costs 1, over
-the budget of 0); of the spellings reached, the table's own form is canonical where it is in use, else the
-most frequent, ties by code point.  Tokens that reach none, and everything between tokens, are
-normalised by table.  Trie and tokens are sharded by their look (the units' classes), which every
-zero-cost path keeps, so a shard sees all its spellings and no vocabulary is broadcast.
+the budget of 0).  Of the spellings reached the most frequent is canonical, ties by code point; tokens that
+reach none, and the signs between tokens, are normalised by table.  Trie and tokens are sharded by their
+look (the units' classes), which every zero-cost path keeps, so a shard sees all spellings of its looks and
+no vocabulary is broadcast.
+
+Tokens are runs of one kind of letter, and the kind is that of the look, so values that look the same
+fall into the same tokens (signs shared by both kana belong to their neighbours).  Of all tokens with one look at most one is plain: a kanji that looks like a kana
+is plain only where it stands alone, and such a kana only beside another one.  So a plain value is its own
+form, and only odd values need work.
 
 Looks the same: half-width, full-width and plain forms, composed and combined accents, ligatures, zero-width
 characters, kinds of blank, apostrophe and hyphen, an ellipsis and three dots, letters of other scripts, blanks
 at the end.  Does not: case, line breaks, name separators, misread letters.
 
-Defined results: a null value has a null form and is in no pair; an empty or blank value has the form ''.
+Defined results: a null value has no form and is in no pair; an empty or blank value has the form ''.
 Rows with a null ``oeuvre`` (or ``tome``) are in no pair.  Whole values are used, however long.
 """
 
@@ -27,12 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lutrin.session import cut_lineage, spread, table
+from lutrin.session import materialise, spread, table
 
 #: Characters and the plain ones they look like, Cyrillic, Greek and kanji in turn.
 _LIKE = dict(
     zip("аеёіорсухѕјһԁӏкԛѡАВЕЁІКМНОРСТУХЅЈԌ", "aeëiopcyxsjhdlkqwABEËIKMHOPCTYXSJG")
-) | dict(zip("οανικΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "oavikABEZHIKMNOPTYX")) | dict(zip("口力一二八工夕卜丿へべぺり", "ロカーニハエタトノヘベペリ"))
+) | dict(zip("οανικΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "oavikABEZHIKMNOPTYX")) | dict(zip("口力一二八工夕卜", "ロカーニハエタト"))
 _HYPHENS = "".join(map(chr, (0x2010, 0x2011, 0xFE63, 0xFF0D)))
 _APOSTROPHES = "".join(map(chr, (0x2018, 0x2019, 0x201B, 0x02BC, 0x02B9, 0x2032, 0x00B4, 0x0060, 0xFF07, 0xA78C)))
 _BLANKS = "".join(map(chr, (0x09, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000, 0x2800, 0x3164)))
@@ -41,12 +46,34 @@ _DROP = frozenset(_IGNORABLE)
 _SIGNS = {c: "-" for c in _HYPHENS} | {c: "'" for c in _APOSTROPHES} | {c: " " for c in _BLANKS}
 _CLASS = _LIKE | _SIGNS
 _AMBIGUOUS = "".join(c for c in _LIKE if ord(c) > 0x3000)
+#: Hiragana and the katakana they look like; which of the two is meant shows in the neighbours.
+_EITHER_HIRA, _EITHER_KANA = "りへべぺ", "リヘベペ"
 _MARKS = "".join(f"{chr(a)}-{chr(b)}" for a, b in ((0x300, 0x36F), (0x3099, 0x309A)))
-_TOKEN = re.compile("[" + chr(92) + "w" + _MARKS + _IGNORABLE + "]+")
-#: A text with none but these characters needs no traversal: its form is itself (Java pattern).
-_RANGES = ((0x0A, 0x0A), (0x20, 0x5F), (0x61, 0x7E), (0xC0, 0xD6), (0xD8, 0xF6), (0xF8, 0xFF), (0x152, 0x153), (0x178, 0x178), (0x2014, 0x2015), (0x201C, 0x201D), (0x2026, 0x2026), (0x3001, 0x3002), (0x3005, 0x3005), (0x300C, 0x300F), (0x3041, 0x3096), (0x30A1, 0x30FC), (0x4E00, 0x9FFF), (0xFF01, 0xFF01), (0xFF1D, 0xFF1D), (0xFF1F, 0xFF1F))
-_PLAIN = "".join(f"{chr(92)}x{{{a:X}}}-{chr(92)}x{{{b:X}}}" for a, b in _RANGES) + "".join(f"{chr(92)}x{{{c:X}}}" for c in (0xA1, 0xAB, 0xBB, 0xBF))
-_NOT_PLAIN = "[^" + _PLAIN + "]|[" + _AMBIGUOUS + "]"
+_ALIKE_KANA = "".join(_LIKE[c] for c in _AMBIGUOUS)
+_KANA = "".join((chr(0x30A1), "-", chr(0x30FA), chr(0x30FC)))
+_HIRA = chr(0x3041) + "-" + chr(0x3096)
+_HAN = chr(0x4E00) + "-" + chr(0x9FFF) + chr(0x3005)
+_WIDE_SIGNS = "".join(map(chr, (0xFF1F, 0xFF01, 0xFF1D)))
+_WIDE = _KANA + _HIRA + _HAN + "".join(map(chr, (0x3001, 0x3002, 0x300D, 0x300F, 0x30FB)))
+
+
+def _escaped(*ranges: tuple[int, int]) -> str:
+    return "".join(f"{chr(92)}x{{{a:X}}}-{chr(92)}x{{{b:X}}}" for a, b in ranges)
+
+
+#: Values of these characters only, and without the patterns below, are plain (Java pattern).
+_PLAIN = _escaped((0x0A, 0x0A), (0x20, 0x5F), (0x61, 0x7E), (0xA1, 0xA1), (0xAB, 0xAB), (0xBB, 0xBB), (0xBF, 0xD6), (0xD8, 0xF6), (0xF8, 0xFF), (0x152, 0x153), (0x178, 0x178), (0x2014, 0x2015), (0x201C, 0x201D), (0x2026, 0x2026), (0x3001, 0x3002), (0x3005, 0x3005), (0x300C, 0x300F), (0x3041, 0x3096), (0x30A1, 0x30FC), (0x4E00, 0x9FFF), (0xFF01, 0xFF01), (0xFF1D, 0xFF1D), (0xFF1F, 0xFF1F))
+_ODD = "|".join((
+    f"[^{_PLAIN}]", f"[{_KANA}][{_AMBIGUOUS}]", f"[{_AMBIGUOUS}][{_KANA}{_AMBIGUOUS}]", f"(?<![{_KANA}])[{_ALIKE_KANA}](?![{_KANA}])",
+    f"[{_KANA}{_AMBIGUOUS}][{_EITHER_HIRA}]", f"[{_EITHER_HIRA}][{_KANA}{_AMBIGUOUS}]", f"(?<![{_KANA}{_AMBIGUOUS}])[{_EITHER_KANA}]+(?![{_KANA}{_AMBIGUOUS}])",
+    "[.][.][.]", r"\s$", f"(?<=[{_WIDE}])[?!=]", f"(?<![{_WIDE}{_WIDE_SIGNS}])[{_WIDE_SIGNS}]", f"[?!=][{_WIDE_SIGNS}]|[{_WIDE_SIGNS}][?!=]",
+))
+_RUNS = f"[{_KANA}{_AMBIGUOUS}]+|[{_HIRA}]+|(?:(?![{_AMBIGUOUS}])[{_HAN}])+"
+_SQL_TOKENS = _RUNS + f"|(?:(?![{_KANA}{_HIRA}{_HAN}])[{chr(92)}p{{L}}{chr(92)}p{{N}}])+"
+_FREE = _MARKS + _IGNORABLE
+#: The same runs in any dress: what looks like kana counts as kana, marks and ignorables go with their run.
+_HALF = chr(0xFF66) + "-" + chr(0xFF9F)
+_TOKEN = re.compile(f"[{_KANA}{_AMBIGUOUS}{_HALF}{_FREE}]*[{_KANA}{_AMBIGUOUS}{_HALF}][{_KANA}{_AMBIGUOUS}{_HALF}{_FREE}]*|[{_HIRA}{_FREE}]*[{_HIRA}][{_HIRA}{_FREE}]*|[{_FREE}]*(?:(?![{_AMBIGUOUS}])[{_HAN}][{_FREE}]*)+|[{_FREE}]*(?:(?![{_KANA}{_HIRA}{_HAN}{_HALF}])[^{chr(92)}W_][{_FREE}]*)+")
 
 
 def units(text: str) -> list[str]:
@@ -114,53 +141,96 @@ class LookTrie:
         return states
 
 
+_TO_KANA, _TO_HIRA = str.maketrans(_EITHER_HIRA, _EITHER_KANA), str.maketrans(_EITHER_KANA, _EITHER_HIRA)
+_EITHER = re.compile(f"[{_FREE}]*(?:[{_EITHER_HIRA}{_EITHER_KANA}][{_FREE}]*)+")
+_KANA_LOOK = re.compile(f"[{_KANA}{_HALF}{_AMBIGUOUS}]")
+
+
+def _by_neighbours(text: str) -> str:
+    """Signs that are one in both kana: katakana beside (what looks like) katakana, else hiragana."""
+
+    def put(m: re.Match) -> str:
+        beside = text[max(m.start() - 1, 0) : m.start()] + text[m.end() : m.end() + 1]
+        return m.group().translate(_TO_KANA if _KANA_LOOK.search(beside) else _TO_HIRA)
+
+    return _EITHER.sub(put, text)
+
+
+def _is_plain(token: str) -> bool:
+    """Is this token of an odd value the plain spelling of its look?"""
+    if look(token) == token:
+        return not (len(token) == 1 and token in _ALIKE_KANA)
+    return len(token) == 1 and token in _AMBIGUOUS
+
+
+def _ending(form: str) -> str:
+    """Dots, signs and blanks that depend on what stands beside them."""
+    form = form.replace("...", chr(0x2026)).rstrip()
+    wide = str.maketrans("?!=", _WIDE_SIGNS)
+    return re.sub("[?!=" + _WIDE_SIGNS + "]+", lambda m: m.group().translate(wide if m.start() and re.match(f"[{_WIDE}]", form[m.start() - 1]) else {ord(w): n for w, n in zip(_WIDE_SIGNS, "?!=")}), form)
+
+
 def _shard(vocabulary: pd.DataFrame, tokens: pd.DataFrame) -> pd.DataFrame:
     trie = LookTrie(list(zip(vocabulary["token"], vocabulary["n"])))
     out = []
     for t in tokens["token"]:
-        plain, found = by_table(t), trie.reach(t)
-        if not found or any(w == plain for w, _ in found):
-            out.append(plain)
-        else:
-            out.append(min(found, key=lambda x: (-x[1], x[0]))[0])
+        found = trie.reach(t)
+        out.append(min(found, key=lambda x: (-x[1], x[0]))[0] if found else by_table(t))
     return pd.DataFrame({"token": tokens["token"], "form": out})
 
 
-def _cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (text, position, is token, piece, look) of texts that aren't plain."""
+def _cut_values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, segments, positions of odd tokens, odd tokens, their looks) of odd values."""
     for b in batches:
-        rows = []
-        for t in b.column(0).to_pylist():
-            at = pos = 0
+        cols: tuple[list, ...] = ([], [], [], [])
+        for t in b.column(1).to_pylist():
+            segments, at, tokens, looks = [], [], [], []
+            done, t = 0, _by_neighbours(t)
             for m in _TOKEN.finditer(t):
-                if m.start() > at:
-                    rows.append((t, pos, False, by_table(t[at : m.start()]), None))
-                    pos += 1
-                rows.append((t, pos, True, m.group(), look(m.group())))
-                pos, at = pos + 1, m.end()
-            if at < len(t):
-                rows.append((t, pos, False, by_table(t[at:]), None))
-        cols = list(zip(*rows)) or [()] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int32(), pa.bool_(), pa.string(), pa.string()))], names=["text", "pos", "word", "piece", "look"])
-
-
-def consistent_forms(values: DataFrame, text: str, shards: int | None = None) -> DataFrame:
-    """``text, form`` of every distinct non-null value of a column."""
-    spark = values.sparkSession
-    shards = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8) * 4
-    texts = values.select(F.col(text).cast("string").alias("text")).where("text IS NOT NULL").groupBy("text").agg(F.count("*").alias("n"))
-    texts = texts.withColumn("odd", F.col("text").rlike(_NOT_PLAIN))
-    texts = cut_lineage(texts)
-
-    pieces = cut_lineage(spread(texts.where("odd").select("text")).mapInArrow(_cut_texts, "text string, pos int, word boolean, piece string, look string"))
-    tokens = pieces.where("word").select(F.col("piece").alias("token"), "look").distinct()
-    # Plain tokens have a look that SQL can tell; only those some odd token looks like are kept.
-    plain = texts.where("NOT odd").select("n", F.explode(F.split("text", r"[^\p{L}\p{N}_]+")).alias("token")).where("token <> ''")
-    common = pieces.where(F.col("word") & F.col("piece").rlike("[" + _AMBIGUOUS + "]") & ~F.col("piece").rlike("[^" + _PLAIN + "]"))
-    plain = plain.unionByName(common.select(F.lit(1).cast("bigint").alias("n"), F.col("piece").alias("token")))
+                if m.start() > done:
+                    segments.append(by_table(t[done : m.start()]))
+                word = m.group()
+                if _is_plain(word):
+                    segments.append(word)
+                else:
+                    at.append(len(segments))
+                    tokens.append(word)
+                    looks.append(look(word))
+                    segments.append(looks[-1])
+                done = m.end()
+            if done < len(t):
+                segments.append(by_table(t[done:]))
+            for c, x in zip(cols, (segments, at, tokens, looks)):
+                c.append(x)
+        text = pa.list_(pa.string())
+        yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, (text, pa.list_(pa.int32()), text, text)))], names=["k", "segments", "at", "tokens", "looks"])
+
+
+def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_ending(x) for x in b.column(1).to_pylist()], pa.string())], names=["k", "form"])
+
+
+def consistent_forms(rows: DataFrame, key: str, text: str, shards: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(odd, plain): ``k, text, form`` of the odd rows, ``k, text`` of the plain ones (their own form).
+
+    ``key`` must tell rows apart; its type is kept.  Rows whose value is null are in neither.
+    """
+    spark = rows.sparkSession
+    shards = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
+    kind = rows.schema[key].dataType.simpleString()
+    rows = rows.select(F.col(key).alias("k"), F.col(text).cast("string").alias("text")).where("text IS NOT NULL")
+    odd = materialise(rows.where(F.col("text").rlike(_ODD)))
+    plain = rows.where(~F.col("text").rlike(_ODD))
+    cut = materialise(spread(odd).mapInArrow(_cut_values, f"k {kind}, segments array<string>, at array<int>, tokens array<string>, looks array<string>"))
+
+    found = cut.select("k", F.explode(F.arrays_zip("at", "tokens", "looks")).alias("x")).select("k", "x.at", F.col("x.tokens").alias("token"), F.col("x.looks").alias("look"))
+    tokens = found.groupBy("token", "look").agg(F.count("*").alias("n"))
     vocabulary = (
-        plain.groupBy("token").agg(F.sum("n").alias("n"))
-        .withColumn("look", F.translate("token", _AMBIGUOUS, "".join(_LIKE[c] for c in _AMBIGUOUS)))
+        plain.select(F.explode(F.regexp_extract_all("text", F.lit(_SQL_TOKENS), F.lit(0))).alias("token"))
+        .where(~F.col("token").rlike(f"^[{_ALIKE_KANA}]$"))
+        .groupBy("token").agg(F.count("*").alias("n"))
+        .withColumn("look", F.translate("token", _AMBIGUOUS, _ALIKE_KANA))
         .join(tokens.select("look").distinct(), "look", "left_semi")
     )
     shard = F.pmod(F.xxhash64("look"), F.lit(shards)).cast("int").alias("shard")
@@ -169,44 +239,49 @@ def consistent_forms(values: DataFrame, text: str, shards: int | None = None) ->
         .cogroup(tokens.select(shard, "token").groupBy("shard"))
         .applyInPandas(_shard, "token string, form string")
     )
-    odd = (
-        pieces.join(forms.withColumn("word", F.lit(True)), (pieces.piece == forms.token) & pieces.word, "left")
-        .select("text", "pos", F.coalesce("form", "piece").alias("piece"))
-        .groupBy("text").agg(F.concat_ws("", F.transform(F.sort_array(F.collect_list(F.struct("pos", "piece"))), lambda x: x["piece"])).alias("form"))
-    )
-    rest = texts.where("NOT odd").select("text", F.col("text").alias("form"))
-    final = F.translate(F.regexp_replace(F.regexp_replace("form", r"\.\.\.", "…"), r"[\s]+$", ""), "？！＝", "?!=")
-    return rest.unionByName(odd).select("text", final.alias("form"))
+    words = found.join(forms, "token").groupBy("k").agg(F.map_from_entries(F.collect_list(F.struct("at", "form"))).alias("forms"))
+    whole = F.concat_ws("", F.transform("segments", lambda x, i: F.coalesce(F.try_element_at("forms", i), x)))
+    done = cut.join(words, "k", "left").select("k", whole.alias("form")).mapInArrow(_finish, f"k {kind}, form string")
+    return odd.join(done, "k"), plain
+
 
+def same_look_pairs(rows: DataFrame, key: str, cle: str, group: list[str], text: str) -> DataFrame:
+    """``cle_a, cle_b`` of rows of one group whose values have one form but differ in characters.
 
-def same_look_pairs(rows: DataFrame, key: str, group: list[str], text: str, forms: DataFrame) -> DataFrame:
-    """``cle_a, cle_b`` of rows of one group whose texts have one form but differ in characters."""
-    full = rows.select(F.col(key).alias("cle"), *group, F.col(text).alias("text")).join(forms, "text")
-    full = full.where(" AND ".join(f"{g} IS NOT NULL" for g in group))
-    by = [*group, "form"]
-    mixed = full.groupBy(*by).agg(F.min("text").alias("lo"), F.max("text").alias("hi")).where("lo <> hi").select(*by)
-    some = cut_lineage(full.join(mixed, by).select("cle", "text", F.xxhash64(*by).alias("h"), *by))
-    a, b = some.alias("a"), some.alias("b")
-    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("h", *by)]
-    joined = a.join(b, [*same, F.col("a.cle") < F.col("b.cle"), F.col("a.text") != F.col("b.text")])
-    return joined.select(F.col("a.cle").alias("cle_a"), F.col("b.cle").alias("cle_b")).distinct()
+    ``key`` tells rows apart, ``cle`` is what a pair names (one ``cle`` may have several values).
+    """
+    rows = rows.where(" AND ".join(f"{g} IS NOT NULL" for g in [*group, text]))
+    odd, plain = consistent_forms(rows, key, text)
+    info = rows.select(F.col(key).alias("k"), F.col(cle).alias("cle"), *group)
+
+    def hashes(df: DataFrame, form: str) -> DataFrame:
+        by = [F.col(c) for c in group] + [F.col(form)]
+        return df.select(F.xxhash64(F.lit(1), *by).alias("h"), F.xxhash64(F.lit(2), *by).alias("i"), "cle", F.xxhash64("text").alias("t"))
+
+    a = materialise(hashes(odd.join(info, "k"), "form"))
+    plain_rows = rows.where(~F.col(text).rlike(_ODD)).select(F.col(cle).alias("cle"), *group, F.col(text).cast("string").alias("text"))
+    b = a.unionByName(hashes(plain_rows, "text"))
+    pairs = a.alias("a").join(b.alias("b"), (F.col("a.h") == F.col("b.h")) & (F.col("a.i") == F.col("b.i")) & (F.col("a.cle") != F.col("b.cle")) & (F.col("a.t") != F.col("b.t")))
+    return pairs.select(F.least("a.cle", "b.cle").alias("cle_a"), F.greatest("a.cle", "b.cle").alias("cle_b")).distinct()
 
 
 def _values(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     bubbles = table(spark, sf_dir, "bulles").select("bulle_id", "oeuvre", "tome", F.col("ocr").alias("texte"))
-    entries = table(spark, sf_dir, "personnages").select("entree_id", "oeuvre", F.explode("termes_source").alias("texte"))
+    entries = table(spark, sf_dir, "personnages").select("entree_id", "oeuvre", F.posexplode("termes_source").alias("rang", "texte"))
     return bubbles, entries
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     bubbles, entries = _values(spark, sf_dir)
-    forms = cut_lineage(consistent_forms(bubbles.select("texte").unionByName(entries.select("texte")), "texte"))
-    a = same_look_pairs(bubbles, "bulle_id", ["oeuvre", "tome"], "texte", forms).select(F.lit("bulles.ocr").alias("champ"), "cle_a", "cle_b")
-    b = same_look_pairs(entries, "entree_id", ["oeuvre"], "texte", forms).select(F.lit("personnages.termes_source").alias("champ"), "cle_a", "cle_b")
+    a = same_look_pairs(bubbles, "bulle_id", "bulle_id", ["oeuvre", "tome"], "texte").select(F.lit("bulles.ocr").alias("champ"), "cle_a", "cle_b")
+    entries = entries.withColumn("k", F.concat_ws("-", "entree_id", "rang"))
+    b = same_look_pairs(entries, "k", "entree_id", ["oeuvre"], "texte").select(F.lit("personnages.termes_source").alias("champ"), "cle_a", "cle_b")
     return a.unionByName(b)
 
 
 def p6_formes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every distinct value and its consistent form."""
-    bubbles, entries = _values(spark, sf_dir)
-    return consistent_forms(bubbles.select("texte").unionByName(entries.select("texte")), "texte")
+    """Every ``bulles.ocr`` in its consistent form; null stays null."""
+    bubbles, _ = _values(spark, sf_dir)
+    odd, plain = consistent_forms(bubbles, "bulle_id", "texte")
+    none = bubbles.where("texte IS NULL").select(F.col("bulle_id").alias("cle"), F.col("texte").alias("forme"))
+    return odd.select(F.col("k").alias("cle"), F.col("form").alias("forme")).unionByName(plain.select(F.col("k").alias("cle"), F.col("text").alias("forme"))).unionByName(none)
