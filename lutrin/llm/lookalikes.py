@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -57,19 +58,15 @@ _WIDE_SIGNS = "".join(map(chr, (0xFF1F, 0xFF01, 0xFF1D)))
 _WIDE = _KANA + _HIRA + _HAN + "".join(map(chr, (0x3001, 0x3002, 0x300D, 0x300F, 0x30FB)))
 
 
-def _escaped(*ranges: tuple[int, int]) -> str:
-    return "".join(f"{chr(92)}x{{{a:X}}}-{chr(92)}x{{{b:X}}}" for a, b in ranges)
-
-
-#: Values of these characters only, and without the patterns below, are plain (Java pattern).
-_PLAIN = _escaped((0x0A, 0x0A), (0x20, 0x5F), (0x61, 0x7E), (0xA1, 0xA1), (0xAB, 0xAB), (0xBB, 0xBB), (0xBF, 0xD6), (0xD8, 0xF6), (0xF8, 0xFF), (0x152, 0x153), (0x178, 0x178), (0x2014, 0x2015), (0x201C, 0x201D), (0x2026, 0x2026), (0x3001, 0x3002), (0x3005, 0x3005), (0x300C, 0x300F), (0x3041, 0x3096), (0x30A1, 0x30FC), (0x4E00, 0x9FFF), (0xFF01, 0xFF01), (0xFF1D, 0xFF1D), (0xFF1F, 0xFF1F))
-_ODD = "|".join((
+#: Values of these characters only, and without the patterns below, are plain.
+_PLAIN = "".join(f"{chr(a)}-{chr(b)}" for a, b in ((0x0A, 0x0A), (0x20, 0x2C), (0x2E, 0x5A), (0x61, 0x7E), (0xA1, 0xA1), (0xAB, 0xAB), (0xBB, 0xBB), (0xBF, 0xD6), (0xD8, 0xF6), (0xF8, 0xFF), (0x152, 0x153), (0x178, 0x178), (0x2014, 0x2015), (0x201C, 0x201D), (0x2026, 0x2026), (0x3001, 0x3002), (0x3005, 0x3005), (0x300C, 0x300F), (0x3041, 0x3096), (0x30A1, 0x30FC), (0x4E00, 0x9FFF), (0xFF01, 0xFF01), (0xFF1D, 0xFF1D), (0xFF1F, 0xFF1F))) + r"_\-\[\]\\"
+_ODD = re.compile("|".join((
     f"[^{_PLAIN}]", f"[{_KANA}][{_AMBIGUOUS}]", f"[{_AMBIGUOUS}][{_KANA}{_AMBIGUOUS}]", f"(?<![{_KANA}])[{_ALIKE_KANA}](?![{_KANA}])",
     f"[{_KANA}{_AMBIGUOUS}][{_EITHER_HIRA}]", f"[{_EITHER_HIRA}][{_KANA}{_AMBIGUOUS}]", f"(?<![{_KANA}{_AMBIGUOUS}])[{_EITHER_KANA}]+(?![{_KANA}{_AMBIGUOUS}])",
-    "[.][.][.]", r"\s$", f"(?<=[{_WIDE}])[?!=]", f"(?<![{_WIDE}{_WIDE_SIGNS}])[{_WIDE_SIGNS}]", f"[?!=][{_WIDE_SIGNS}]|[{_WIDE_SIGNS}][?!=]",
-))
+    "[.][.][.]", r"\s\Z", f"(?<=[{_WIDE}])[?!=]", f"(?<![{_WIDE}{_WIDE_SIGNS}])[{_WIDE_SIGNS}]", f"[?!=][{_WIDE_SIGNS}]|[{_WIDE_SIGNS}][?!=]",
+)))
 _RUNS = f"[{_KANA}{_AMBIGUOUS}]+|[{_HIRA}]+|(?:(?![{_AMBIGUOUS}])[{_HAN}])+"
-_SQL_TOKENS = _RUNS + f"|(?:(?![{_KANA}{_HIRA}{_HAN}])[{chr(92)}p{{L}}{chr(92)}p{{N}}])+"
+_WORDS = re.compile(_RUNS + f"|(?:(?![{_KANA}{_HIRA}{_HAN}])[^{chr(92)}W_])+")
 _FREE = _MARKS + _IGNORABLE
 #: The same runs in any dress: what looks like kana counts as kana, marks and ignorables go with their run.
 _HALF = chr(0xFF66) + "-" + chr(0xFF9F)
@@ -179,31 +176,50 @@ def _shard(vocabulary: pd.DataFrame, tokens: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"token": tokens["token"], "form": out})
 
 
-def _cut_values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, segments, positions of odd tokens, odd tokens, their looks) of odd values."""
+def _cut(text: str) -> tuple[list[str], list[int], list[str], list[str]]:
+    """Segments of an odd value; places, spellings and looks of its odd tokens."""
+    segments, at, tokens, looks = [], [], [], []
+    done, text = 0, _by_neighbours(text)
+    for m in _TOKEN.finditer(text):
+        if m.start() > done:
+            segments.append(by_table(text[done : m.start()]))
+        word, done = m.group(), m.end()
+        if _is_plain(word):
+            segments.append(word)
+        else:
+            at.append(len(segments))
+            tokens.append(word)
+            looks.append(look(word))
+            segments.append(looks[-1])
+    if done < len(text):
+        segments.append(by_table(text[done:]))
+    return segments, at, tokens, looks
+
+
+def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One pass over the values (the last column): plain rows lose their text, odd ones are cut into
+    tokens, and one row a batch without a key has the words of the plain values with their counts."""
+    odd_in, words = _ODD.search, _WORDS.findall
+    text = pa.list_(pa.string())
     for b in batches:
-        cols: tuple[list, ...] = ([], [], [], [])
-        for t in b.column(1).to_pylist():
-            segments, at, tokens, looks = [], [], [], []
-            done, t = 0, _by_neighbours(t)
-            for m in _TOKEN.finditer(t):
-                if m.start() > done:
-                    segments.append(by_table(t[done : m.start()]))
-                word = m.group()
-                if _is_plain(word):
-                    segments.append(word)
-                else:
-                    at.append(len(segments))
-                    tokens.append(word)
-                    looks.append(look(word))
-                    segments.append(looks[-1])
-                done = m.end()
-            if done < len(t):
-                segments.append(by_table(t[done:]))
-            for c, x in zip(cols, (segments, at, tokens, looks)):
-                c.append(x)
-        text = pa.list_(pa.string())
-        yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, (text, pa.list_(pa.int32()), text, text)))], names=["k", "segments", "at", "tokens", "looks"])
+        values = b.column(b.num_columns - 1).to_pylist()
+        seen: Counter = Counter()
+        texts, cols = [], ([], [], [], [])
+        for t in values:
+            if odd_in(t):
+                texts.append(t)
+                for c, x in zip(cols, _cut(t)):
+                    c.append(x)
+            else:
+                seen.update(words(t))
+                texts.append(None)
+                for c in cols:
+                    c.append(None)
+        texts.append(None)
+        for c, x in zip(cols, (None, list(seen.values()), list(seen), None)):
+            c.append(x)
+        keep = [pa.concat_arrays([x, pa.nulls(1, x.type)]) for x in b.columns[:-1]]
+        yield pa.RecordBatch.from_arrays([*keep, pa.array(texts, pa.string()), *(pa.array(c, k) for c, k in zip(cols, (text, pa.list_(pa.int32()), text, text)))], names=[*b.schema.names[:-1], "text", "segments", "at", "tokens", "looks"])
 
 
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,25 +227,25 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_ending(x) for x in b.column(1).to_pylist()], pa.string())], names=["k", "form"])
 
 
-def consistent_forms(rows: DataFrame, key: str, text: str, shards: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(odd, plain): ``k, text, form`` of the odd rows, ``k, text`` of the plain ones (their own form).
+def consistent_forms(rows: DataFrame, key: str, text: str, keep: list[str] = (), shards: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(odd, plain): ``k, *keep, text, form`` of the odd rows, ``k, *keep`` of the plain ones.
 
-    ``key`` must tell rows apart; its type is kept.  Rows whose value is null are in neither.
+    A plain row's value is its own form.  ``key`` must tell rows apart and be non-null; rows whose value is
+    null are in neither.  ``keep`` must not hold the names k, text, form, segments, at, tokens or looks.
     """
     spark = rows.sparkSession
     shards = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
-    kind = rows.schema[key].dataType.simpleString()
-    rows = rows.select(F.col(key).alias("k"), F.col(text).cast("string").alias("text")).where("text IS NOT NULL")
-    odd = materialise(rows.where(F.col("text").rlike(_ODD)))
-    plain = rows.where(~F.col("text").rlike(_ODD))
-    cut = materialise(spread(odd).mapInArrow(_cut_values, f"k {kind}, segments array<string>, at array<int>, tokens array<string>, looks array<string>"))
+    rows = rows.select(F.col(key).alias("k"), *keep, F.col(text).cast("string").alias("text")).where("text IS NOT NULL AND k IS NOT NULL")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    seen = materialise(spread(rows).mapInArrow(_survey, f"{kinds}, segments array<string>, at array<int>, tokens array<string>, looks array<string>"))
+    cut = seen.where("text IS NOT NULL")
 
     found = cut.select("k", F.explode(F.arrays_zip("at", "tokens", "looks")).alias("x")).select("k", "x.at", F.col("x.tokens").alias("token"), F.col("x.looks").alias("look"))
     tokens = found.groupBy("token", "look").agg(F.count("*").alias("n"))
     vocabulary = (
-        plain.select(F.explode(F.regexp_extract_all("text", F.lit(_SQL_TOKENS), F.lit(0))).alias("token"))
+        seen.where("k IS NULL").select(F.explode(F.arrays_zip("at", "tokens")).alias("x")).select(F.col("x.tokens").alias("token"), F.col("x.at").alias("n"))
         .where(~F.col("token").rlike(f"^[{_ALIKE_KANA}]$"))
-        .groupBy("token").agg(F.count("*").alias("n"))
+        .groupBy("token").agg(F.sum("n").alias("n"))
         .withColumn("look", F.translate("token", _AMBIGUOUS, _ALIKE_KANA))
         .join(tokens.select("look").distinct(), "look", "left_semi")
     )
@@ -241,26 +257,26 @@ def consistent_forms(rows: DataFrame, key: str, text: str, shards: int | None =
     )
     words = found.join(forms, "token").groupBy("k").agg(F.map_from_entries(F.collect_list(F.struct("at", "form"))).alias("forms"))
     whole = F.concat_ws("", F.transform("segments", lambda x, i: F.coalesce(F.try_element_at("forms", i), x)))
-    done = cut.join(words, "k", "left").select("k", whole.alias("form")).mapInArrow(_finish, f"k {kind}, form string")
-    return odd.join(done, "k"), plain
+    kind = rows.schema["k"].dataType.simpleString()
+    done = cut.select("k", "segments").join(words, "k", "left").select("k", whole.alias("form")).mapInArrow(_finish, f"k {kind}, form string")
+    return cut.select("k", *keep, "text").join(done, "k"), seen.where("text IS NULL AND k IS NOT NULL").select("k", *keep)
 
 
 def same_look_pairs(rows: DataFrame, key: str, cle: str, group: list[str], text: str) -> DataFrame:
     """``cle_a, cle_b`` of rows of one group whose values have one form but differ in characters.
 
-    ``key`` tells rows apart, ``cle`` is what a pair names (one ``cle`` may have several values).
+    ``key`` tells rows apart, ``cle`` is what a pair names (one ``cle`` may have several values).  Forms
+    are compared by two 64-bit hashes, so the joins carry numbers, not texts.
     """
     rows = rows.where(" AND ".join(f"{g} IS NOT NULL" for g in [*group, text]))
-    odd, plain = consistent_forms(rows, key, text)
-    info = rows.select(F.col(key).alias("k"), F.col(cle).alias("cle"), *group)
-
-    def hashes(df: DataFrame, form: str) -> DataFrame:
-        by = [F.col(c) for c in group] + [F.col(form)]
-        return df.select(F.xxhash64(F.lit(1), *by).alias("h"), F.xxhash64(F.lit(2), *by).alias("i"), "cle", F.xxhash64("text").alias("t"))
-
-    a = materialise(hashes(odd.join(info, "k"), "form"))
-    plain_rows = rows.where(~F.col(text).rlike(_ODD)).select(F.col(cle).alias("cle"), *group, F.col(text).cast("string").alias("text"))
-    b = a.unionByName(hashes(plain_rows, "text"))
+    value = F.col(text).cast("string")
+    by = [F.col(c) for c in group]
+    rows = rows.select(F.col(key).alias("cle_"), F.col(cle).alias("cle"), *(F.col(g).alias(f"g{i}") for i, g in enumerate(group)), F.xxhash64(F.lit(1), *by, value).alias("h"), F.xxhash64(F.lit(2), *by, value).alias("i"), F.xxhash64(value).alias("t"), value.alias("texte_"))
+    names = [f"g{i}" for i in range(len(group))]
+    odd, plain = consistent_forms(rows, "cle_", "texte_", ["cle", *names, "h", "i", "t"])
+    form = [F.col(c) for c in (*names, "form")]
+    a = materialise(odd.select(F.xxhash64(F.lit(1), *form).alias("h"), F.xxhash64(F.lit(2), *form).alias("i"), "cle", "t"))
+    b = a.unionByName(plain.select("h", "i", "cle", "t"))
     pairs = a.alias("a").join(b.alias("b"), (F.col("a.h") == F.col("b.h")) & (F.col("a.i") == F.col("b.i")) & (F.col("a.cle") != F.col("b.cle")) & (F.col("a.t") != F.col("b.t")))
     return pairs.select(F.least("a.cle", "b.cle").alias("cle_a"), F.greatest("a.cle", "b.cle").alias("cle_b")).distinct()
 
@@ -282,6 +298,5 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p6_formes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every ``bulles.ocr`` in its consistent form; null stays null."""
     bubbles, _ = _values(spark, sf_dir)
-    odd, plain = consistent_forms(bubbles, "bulle_id", "texte")
-    none = bubbles.where("texte IS NULL").select(F.col("bulle_id").alias("cle"), F.col("texte").alias("forme"))
-    return odd.select(F.col("k").alias("cle"), F.col("form").alias("forme")).unionByName(plain.select(F.col("k").alias("cle"), F.col("text").alias("forme"))).unionByName(none)
+    odd, _ = consistent_forms(bubbles, "bulle_id", "texte")
+    return bubbles.join(odd.select(F.col("k").alias("bulle_id"), "form"), "bulle_id", "left").select(F.col("bulle_id").alias("cle"), F.coalesce("form", "texte").alias("forme"))
