@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("encoding", "lookalikes", "mixing", "splitting")
+_MODULES = ("answers", "encoding", "lookalikes", "mixing", "names", "splitting", "truncation")
 
 
 def _collect(attribute: str) -> dict:
