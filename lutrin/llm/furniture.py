@@ -14,15 +14,17 @@ FOLIO = re.compile(
     rf"|(?i:p|pp|pg|pag|pág|page|página|pagina|seite|s)(?:\.|(?<=.{{4}}))? ?{_NUMBER}(?: ?/ ?\d{{1,4}})?|\d{{1,4}} ?/ ?\d{{1,4}}|\d{{1,4}} ?(?:頁|ページ))$"
 )
 _BARE = re.compile(r"^\d{1,4}$")
-_FREE = {i: None for i in (0xAD, 0x34F, 0x61C, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2070), 0xFEFF)}
+_FREE = re.compile("[" + "".join(map(chr, (0xAD, 0x34F, 0x61C, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2070), 0xFEFF))) + "]")
 _CHAPTER = ("CHAPITRE", "CHAPTER", "CAPITULO")
-_TAIL_NUMBER = re.compile(rf"(?:^|\s+){_DECOR}?\s*(?:p\.?\s*)?[\[(]?\s*{_NUMBER}(?:/\d{{1,4}})?\s*[\])]?\s*{_DECOR}?$")
-_HEAD_NUMBER = re.compile(rf"^{_DECOR}?\s*(?:p\.?\s*)?[\[(]?\s*{_NUMBER}\s*[\])]?\s*{_DECOR}?\s+")
+_AFFIX = rf"{_DECOR}?\s*(?:(?:PAGE|PÁGINA|PAGINA|PÁG|PAG|PP|P|S)\.?\s*)?[\[(]?\s*{_NUMBER}(?:\s?/\s?\d{{1,4}})?\s*[\])]?\s*(?:頁|ページ)?{_DECOR}?"
+_TAIL_NUMBER = re.compile(rf"(?:^|\s+){_AFFIX}$", re.I)
+_HEAD_NUMBER = re.compile(rf"^{_AFFIX}\s+", re.I)
+_JA_CHAPTER = re.compile(rf"^(?:{_AFFIX}\s+)?第\s?[\d〇一二三四五六七八九十百]+\s?章(?:\s+{_AFFIX})?$", re.I)
 
 
 def bare(text: str) -> str:
     """Without ignorable characters."""
-    return text.translate(_FREE)
+    return text if text.isascii() else _FREE.sub("", text)
 
 
 def plain_caps(text: str) -> str:
@@ -55,19 +57,16 @@ def is_header(line: str, title: str | None) -> bool:
     line = bare(line).strip()
     if not 3 <= len(line) <= 90 or line[0] in "#<":
         return False
-    if "第" in line and re.match(rf"^{_DECOR}?\s*(?:{_NUMBER}\s*{_DECOR}?\s+)?第\s?[\d〇一二三四五六七八九十百]+\s?章(?:\s*{_DECOR}?\s*[\[(]?{_NUMBER}[\])]?\s*{_DECOR}?)?$", line):
+    if "第" in line and _JA_CHAPTER.match(line):
         return True
     caps = plain_caps(line)
-    number = re.compile(_TAIL_NUMBER.pattern, re.I)
-    for form in dict.fromkeys((caps, number.sub("", caps), re.sub(_HEAD_NUMBER.pattern, "", caps, flags=re.I))):
+    for form in dict.fromkeys((caps, _TAIL_NUMBER.sub("", caps), _HEAD_NUMBER.sub("", caps))):
         if title and distance(form, title, max(1, len(title) // 5)) <= max(1, len(title) // 5):
             return True
-        words = form.split()
-        if 1 <= len(words) <= 2 and 6 <= len(words[0]) <= 11:
-            # "CHAPTER 12", with the number perhaps taken for the page number or misread
-            if (len(words) == 2 and len(words[1]) <= 4 and (re.search(r"\d", words[1]) or re.fullmatch(r"[IVXLOSB]+", words[1]))) or (len(words) == 1 and form != caps):
-                if any(distance(words[0], w, 2) <= 2 for w in _CHAPTER):
-                    return True
+        # "CHAPTER 12", its number perhaps taken for the page number, its blank perhaps lost or misread
+        words = re.match(r"([A-Z.|!\d]{6,9}?)[\s\d]{0,2}?(\d{0,3}|[IVXLOSB]{1,5})$", form)
+        if words and len(form) <= 13 and (words.group(2) or form != caps) and any(distance(words.group(1), w, 2) <= 2 for w in _CHAPTER):
+            return True
     return False
 
 
