@@ -37,6 +37,7 @@ _STOP = ".!?…。！？"
 _CLOSE = "\"'»”’」』)）]】  "
 _BREAK = "—―–"
 _DEBRIS = re.compile(r"(?:�+|&#?[A-Za-z0-9]{0,7}|(?:\\n)?\\u?[0-9a-fA-F]{0,3}|(?:\\[nrt])+\\?(?:u[0-9a-fA-F]{0,3})?|<!?-{0,2}[A-Za-z/]*[^<>]{0,40}|%[0-9A-F]?)$")
+_DEBRIS_START = re.compile(r"[&<%\\�]")
 _ENDS = re.compile(r"^(?:FIN|THE END|END|終わり|おわり|完|À SUIVRE|TO BE CONTINUED|CONTINUARÁ|つづく|続く)$", re.I)
 _MARKER = re.compile(r"^(?:[*#~=_\-–—·•\s◆◇■□●○★☆※]+|<!--.*-->|!\[.*\]\(.*\)|#{1,6} .*)$")
 _SENTENCE = re.compile(r"[.!?…。！？]+")
@@ -45,7 +46,9 @@ _SENTENCE = re.compile(r"[.!?…。！？]+")
 def strip_debris(text: str) -> tuple[str, str]:
     """(text without what a broken transfer left at its end, that debris)."""
     body = text.rstrip()
-    found = _DEBRIS.search(body)
+    if body[-1:].isalnum() and not _DEBRIS_START.search(body, max(0, len(body) - 60)):
+        return body, ""
+    found = _DEBRIS.search(body, max(0, len(body) - 60))
     if found and found.group() and not (found.group()[0] == "<" and found.group().rstrip().endswith("-->")):
         return body[: found.start()].rstrip(), found.group()
     return body, ""
@@ -212,6 +215,8 @@ def judge(model: Cutter, limit: tuple, champ: str, text: str | None, source_text
     """Probability that a value was cut; 0 for what the exact check rules out."""
     if not text or model.weights is None:
         return 0.0
+    if champ == "bulles.traduction" and text[-1] in _STOP:
+        return 0.0  # nothing follows a translation, so its own end decides
     body = furniture.content(text, title)
     body, debris = strip_debris(body)
     if not body:
