@@ -26,14 +26,51 @@ from lutrin.llm import bpe
 from lutrin.session import small_rows, spread, table
 
 LEVELS = ("section", "paragraphe", "ligne", "phrase", "mot", "caractere")
-_HEADING = rb"(?:#{1,6} |(?:Planche|Chapitre|Chapter|Cap\xc3\xadtulo|CHAPITRE|CHAPTER|CAP\xc3\x8dTULO) ?\d|\xe7\xac\xac\d+\xe7\xab\xa0|\* ?\* ?\*)"
-_PLACES = (
-    re.compile(rb"(?:\r\n?|\n)(?=" + _HEADING + rb")"),
-    re.compile(rb"(?:\r\n?|\n)[ \t]*(?:\r\n?|\n)+"),
-    re.compile(rb"\r\n?|\n|\xe2\x80\xa8|\xe2\x80\xa9"),
-    re.compile(rb"(?:[.!?]|\xe2\x80\xa6)+(?:[\"')\]]|\xc2\xbb|\xe2\x80\x9d|\xe2\x80\x99)*(?=\s)|(?:\xe3\x80\x82|\xef\xbc\x81|\xef\xbc\x9f)+(?:\xe3\x80\x8d|\xe3\x80\x8f)*"),
-    re.compile(rb"(?<=[^ \t])(?=[ \t])|\xe3\x80\x81|\xe3\x80\x80"),
-)
+_HEADING = re.compile(rb"#{1,6} |(?:Planche|Chapitre|Chapter|Cap\xc3\xadtulo|CHAPITRE|CHAPTER|CAP\xc3\x8dTULO) ?\d|\xe7\xac\xac\d+\xe7\xab\xa0|\* ?\* ?\*")
+_CLOSERS = re.compile(rb"(?:[.!?\"')\]]|\xc2\xbb|\xe2\x80[\x9d\x99\xa6]|\xc2\xa0\xc2\xbb|\xe3\x80[\x8d\x8f\x82]|\xef\xbc[\x81\x9f])*")
+#: Classes of bytes: 1 a line end, 2 a blank, 4 a stop, 8 the first byte of a heading.
+_KIND = np.zeros(256, np.uint8)
+_KIND[[0x0A, 0x0D]] = 1
+_KIND[[0x20, 0x09]] = 2
+_KIND[[0x2E, 0x21, 0x3F]] = 4
+_KIND[[0x23, 0x50, 0x43, 0xE7, 0x2A]] = 8
+
+
+def _after(raw: np.ndarray, three: tuple[int, int, int]) -> np.ndarray:
+    """Offsets right after each place of three bytes."""
+    if len(raw) < 3:
+        return np.zeros(0, np.int64)
+    return np.flatnonzero((raw[2:] == three[2]) & (raw[1:-1] == three[1]) & (raw[:-2] == three[0])) + 3
+
+
+def _natural_places(data: bytes, raw: np.ndarray) -> list[np.ndarray]:
+    """Byte offsets of the ends of sections, paragraphs, lines, sentences and words."""
+    size = len(data)
+    kind = _KIND[raw]
+    end = kind == 1
+    lines = np.flatnonzero(end[:-1] & ~end[1:]) + 1  # after the last line end of a run
+    before = np.flatnonzero(end[1:] & ~end[:-1]) + 1
+    if size and end[0]:
+        before = np.concatenate([[0], before])
+    starts = before[: len(lines)]
+    crlf = np.array([data.count(b"\r\n", i, j) for i, j in zip(starts.tolist(), lines.tolist())], np.int64) if b"\r\n" in data else 0
+    paragraphs = lines[lines - starts - crlf > 1]
+    heads = lines[kind[lines] == 8] if len(lines) else lines
+    sections = np.array([i for i in heads.tolist() if _HEADING.match(data, i)], np.int64)
+
+    stops = np.flatnonzero(kind == 4) + 1
+    ends = []
+    for i in stops.tolist() + _after(raw, (0xE2, 0x80, 0xA6)).tolist():
+        j = _CLOSERS.match(data, i).end()
+        if j < size and data[j] in b" \n\r\t\xc2\xe3":
+            ends.append(j)
+    for sign in ((0xE3, 0x80, 0x82), (0xEF, 0xBC, 0x81), (0xEF, 0xBC, 0x9F)):
+        for i in _after(raw, sign).tolist():
+            ends.append(_CLOSERS.match(data, i).end())
+    blank = kind == 2
+    words = np.flatnonzero(blank[1:] & ~blank[:-1]) + 1
+    commas = [_after(raw, x) for x in ((0xE3, 0x80, 0x81), (0xE3, 0x80, 0x80), (0xE2, 0x80, 0xA8), (0xE2, 0x80, 0xA9))] if 0xE3 in data or 0xE2 in data else []
+    return [sections, paragraphs, lines, np.array(ends, np.int64), np.concatenate([words, *commas])]
 
 
 class _Text:
@@ -50,8 +87,8 @@ class _Text:
         at = np.full(len(data) + 1, -1, np.int64)
         at[starts] = np.arange(n + 1)
         self.places = []
-        for pattern in _PLACES:
-            found = at[[m.end() for m in pattern.finditer(data)]] if data else np.zeros(0, np.int64)
+        for offsets in _natural_places(data, raw):
+            found = at[offsets]
             self.places.append(np.unique(found[found > 0]))
         self.places.append(np.flatnonzero(self.whole))
 
