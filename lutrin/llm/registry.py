@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("answers", "encoding", "lookalikes", "mixing", "names", "scans", "splitting", "truncation")
+_MODULES = ("alignment", "answers", "encoding", "lookalikes", "mixing", "names", "scans", "splitting", "truncation")
 
 
 def _collect(attribute: str) -> dict:
