@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES: tuple[str, ...] = ("lutrin.operators.profiling", "lutrin.operators.quality", "lutrin.operators.statistics", "lutrin.operators.sequences")
+_MODULES: tuple[str, ...] = ("lutrin.operators.profiling", "lutrin.operators.quality", "lutrin.operators.statistics", "lutrin.operators.sequences", "lutrin.operators.entities", "lutrin.operators.spatial")
 FLAGSHIP = "bubble_quality_profile"
 
 

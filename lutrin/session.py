@@ -42,7 +42,7 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a compressed table in the shared checkpoint folder and read it back.
+    """Write ``df`` as a table in the shared checkpoint folder and read it back.
 
     Cuts the lineage like a checkpoint, at a fraction of its size, and later reads prune columns.
     """
@@ -52,7 +52,7 @@ def materialise(df: DataFrame) -> DataFrame:
     ensure_checkpoint_dir(spark)
     base = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     path = f"{base}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
