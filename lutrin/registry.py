@@ -4,7 +4,16 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES: tuple[str, ...] = ("lutrin.operators.profiling", "lutrin.operators.quality", "lutrin.operators.statistics", "lutrin.operators.sequences", "lutrin.operators.entities", "lutrin.operators.spatial")
+_MODULES: tuple[str, ...] = (
+    "lutrin.operators.profiling",
+    "lutrin.operators.quality",
+    "lutrin.operators.statistics",
+    "lutrin.operators.sequences",
+    "lutrin.operators.entities",
+    "lutrin.operators.spatial",
+    "lutrin.operators.documents",
+    "lutrin.streaming.progress",
+)
 FLAGSHIP = "bubble_quality_profile"
 
 
