@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import os
+import re
 
 import numpy as np
 
@@ -27,6 +28,16 @@ def vocabulary_path(name: str, directory: str | None = None) -> str:
     return os.path.join(directory or DEFAULT_DIR, f"{name}.tiktoken")
 
 
+def _bmp_pattern() -> re.Pattern:
+    """``PATTERN`` for texts of the basic plane, its classes spelt out: the same matches, found faster."""
+    import regex
+
+    plane = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x10000))))
+    letters, numbers = ("".join(f"{m[0]}-{m[-1]}" for m in regex.findall(f"{chr(92)}p{{{k}}}+", plane)) for k in "LN")
+    blanks = "".join(map(chr, (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+    return re.compile(f"'(?:[sdmt]|ll|ve|re)| ?[{letters}]+| ?[{numbers}]+| ?[^{blanks}{letters}{numbers}]+|[{blanks}]+(?![^{blanks}])|[{blanks}]+")
+
+
 class ByteBpe:
     """Encoder and decoder of one rank file (token id = merge rank)."""
 
@@ -51,7 +62,8 @@ class ByteBpe:
         for i, t in enumerate(self.tokens):
             self._automaton.add_word(t.decode("latin-1"), (len(t), i))
         self._automaton.make_automaton()
-        self._find = regex.compile(PATTERN).findall
+        self._find_any = regex.compile(PATTERN).findall
+        self._find = _bmp_pattern().findall
         self._cache: dict[str, tuple[int, ...]] = {}
 
     def _shorter_prefixes(self) -> list[int]:
@@ -142,7 +154,8 @@ class ByteBpe:
         """Token ids of a text; special-token strings are ordinary text."""
         cache, out = self._cache, []
         get = cache.get
-        for piece in self._find(text):
+        plain = text.isascii() or len(text.encode("utf-16-le", "surrogatepass")) == 2 * len(text)
+        for piece in (self._find if plain else self._find_any)(text):
             ids = get(piece)
             if ids is None:
                 ids = tuple(self.encode_bytes(piece.encode("utf-8", "replace")))
