@@ -11,6 +11,7 @@ _MODULES: tuple[str, ...] = (
     "lutrin.operators.sequences",
     "lutrin.operators.entities",
     "lutrin.operators.spatial",
+    "lutrin.operators.cleaning",
     "lutrin.operators.documents",
     "lutrin.streaming.progress",
 )
