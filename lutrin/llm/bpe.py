@@ -19,7 +19,7 @@ import numpy as np
 DEFAULT_DIR = "/opt/tokenizers"
 #: Pre-token pattern of the public byte-level vocabularies (fixed value of the file format).
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_CACHE_ENTRIES = 120_000
+_CACHE_ENTRIES = 300_000
 _LOADED: dict[str, "ByteBpe"] = {}
 
 

@@ -2,20 +2,22 @@
 
 Method: a recursive hierarchy of separators (section, paragraph, line, sentence, word, character) breaks a
 text into parts of at most ``limit - overlap`` tokens: a part that is too large is broken at the next
-finer level only.  Parts are packed greedily up to the limit, and each following piece starts
+finer level only.  Parts are packed greedily up to the limit (each cut is looked up from the coarsest level), and each following piece starts
 ``overlap`` tokens before the end of the one before.  Places are token boundaries of the whole text's
 encoding, so a piece's ids are a slice of the text's ids and the overlap is exact.
 
 Defined results: texts of at most ``limit`` tokens, null, empty ones included, give no rows.  A piece
 never ends or starts inside a character; where the exact overlap would start inside one, the overlap
 grows by the one to three tokens that complete it.  An overlap that is null or negative counts as 0, one
-that leaves less than a quarter of the limit for new text is reduced to three quarters of it.  Limits under
+that leaves less than a quarter of the limit, or less than 8 tokens, for new text is reduced.  Limits under
 8 (a character can take 4 tokens) are refused.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from lutrin.llm import bpe
 from lutrin.session import small_rows, spread, table
 
-LEVELS = ("section", "paragraphe", "ligne", "phrase", "mot", "caractere")
+LEVELS = ("section", "paragraphe", "ligne", "phrase", "mot", "caractere", "fin")
 _HEADING = re.compile(rb"#{1,6} |(?:Planche|Chapitre|Chapter|Cap\xc3\xadtulo|CHAPITRE|CHAPTER|CAP\xc3\x8dTULO) ?\d|\xe7\xac\xac\d+\xe7\xab\xa0|\* ?\* ?\*")
 _CLOSERS = re.compile(rb"(?:[.!?\"')\]]|\xc2\xbb|\xe2\x80[\x9d\x99\xa6]|\xc2\xa0\xc2\xbb|\xe3\x80[\x8d\x8f\x82]|\xef\xbc[\x81\x9f])*")
 #: Classes of bytes: 1 a line end, 2 a blank, 4 a stop, 8 the first byte of a heading.
@@ -36,11 +38,14 @@ _KIND[[0x2E, 0x21, 0x3F]] = 4
 _KIND[[0x23, 0x50, 0x43, 0xE7, 0x2A]] = 8
 
 
-def _after(raw: np.ndarray, three: tuple[int, int, int]) -> np.ndarray:
-    """Offsets right after each place of three bytes."""
-    if len(raw) < 3:
-        return np.zeros(0, np.int64)
-    return np.flatnonzero((raw[2:] == three[2]) & (raw[1:-1] == three[1]) & (raw[:-2] == three[0])) + 3
+def _after(data: bytes, sign: bytes) -> list[int]:
+    """Offsets right after each place of a sign."""
+    out, i = [], data.find(sign)
+    while i >= 0:
+        i += len(sign)
+        out.append(i)
+        i = data.find(sign, i)
+    return out
 
 
 def _natural_places(data: bytes, raw: np.ndarray) -> list[np.ndarray]:
@@ -59,18 +64,22 @@ def _natural_places(data: bytes, raw: np.ndarray) -> list[np.ndarray]:
     sections = np.array([i for i in heads.tolist() if _HEADING.match(data, i)], np.int64)
 
     stops = np.flatnonzero(kind == 4) + 1
-    ends = []
-    for i in stops.tolist() + _after(raw, (0xE2, 0x80, 0xA6)).tolist():
+    follow = kind[np.minimum(stops, size - 1)]
+    plain = (stops < size) & ((follow == 1) | (follow == 2))
+    ends = stops[plain].tolist()
+    for i in stops[~plain].tolist() + _after(data, b"\xe2\x80\xa6"):
         j = _CLOSERS.match(data, i).end()
         if j < size and data[j] in b" \n\r\t\xc2\xe3":
             ends.append(j)
-    for sign in ((0xE3, 0x80, 0x82), (0xEF, 0xBC, 0x81), (0xEF, 0xBC, 0x9F)):
-        for i in _after(raw, sign).tolist():
+    for sign in (b"\xe3\x80\x82", b"\xef\xbc\x81", b"\xef\xbc\x9f"):
+        for i in _after(data, sign):
             ends.append(_CLOSERS.match(data, i).end())
     blank = kind == 2
     words = np.flatnonzero(blank[1:] & ~blank[:-1]) + 1
-    commas = [_after(raw, x) for x in ((0xE3, 0x80, 0x81), (0xE3, 0x80, 0x80), (0xE2, 0x80, 0xA8), (0xE2, 0x80, 0xA9))] if 0xE3 in data or 0xE2 in data else []
-    return [sections, paragraphs, lines, np.array(ends, np.int64), np.concatenate([words, *commas])]
+    commas = [i for x in (b"\xe3\x80\x81", b"\xe3\x80\x80", b"\xe2\x80\xa8", b"\xe2\x80\xa9") for i in _after(data, x)]
+    if commas:
+        words = np.unique(np.concatenate([words, np.array(commas, np.int64)]))
+    return [sections, paragraphs, lines, np.array(sorted(set(ends)), np.int64), words]
 
 
 class _Text:
@@ -88,56 +97,47 @@ class _Text:
         at[starts] = np.arange(n + 1)
         self.places = []
         for offsets in _natural_places(data, raw):
-            found = at[offsets]
-            self.places.append(np.unique(found[found > 0]))
-        self.places.append(np.flatnonzero(self.whole))
-
-    def parts(self, most: int) -> tuple[list[int], list[int]]:
-        """Ends of the parts in order, and the level at which each was cut."""
-        ends, levels = [], []
-
-        def cut(a: int, b: int, level: int) -> None:
-            if b - a <= most and level > 0:
-                ends.append(b)
-                levels.append(level - 1)
-                return
-            places = self.places[level]
-            here = places[np.searchsorted(places, a, "right") : np.searchsorted(places, b, "left")]
-            if level == len(self.places) - 1:  # characters: as many as fit, at once
-                while b - a > most:
-                    k = int(np.searchsorted(here, a + most, "right")) - 1
-                    a = int(here[k])
-                    ends.append(a)
-                    levels.append(level)
-                ends.append(b)
-                levels.append(level)
-                return
-            for e in here.tolist():
-                cut(a, e, level + 1)
-                a = e
-            cut(a, b, level + 1)
-
-        cut(0, self.n, 0)
-        return ends, levels
-
-
-def pieces_of(text: _Text, limit: int, overlap: int) -> list[tuple[int, int, int]]:
-    """(start, end, level of the cut at the end) of each piece of a text larger than ``limit``."""
-    overlap = min(max(overlap, 0), limit * 3 // 4)
-    slack = 3 if overlap else 0  # the overlap may grow to complete a character
-    ends, levels = text.parts(limit - overlap - slack)
-    out, start, i, n = [], 0, 0, len(ends)
-    while True:
-        last = -1
-        while i < n and ends[i] - start <= limit:
-            last = i
-            i += 1
-        out.append((start, ends[last], levels[last]))
-        if i >= n:
-            return out
-        start = ends[last] - overlap
-        while not text.whole[start]:
+            found = at[offsets]  # in order, as the offsets are
+            self.places.append(found[found > 0].tolist())
+
+    def cut(self, limit: int, most: int) -> tuple[int, int]:
+        """(place, level) of the last cut at or before ``limit``.
+
+        The part around ``limit`` is narrowed level by level: while it has more than ``most`` tokens it is
+        broken at the next finer level, and the cut is where the part that can stay whole begins.
+        """
+        left, right, found = 0, self.n, 0
+        for level, places in enumerate(self.places):
+            i = bisect_right(places, limit)
+            if i and places[i - 1] > left:
+                left, found = places[i - 1], level
+            if i < len(places) and places[i] < right:
+                right = places[i]
+            if right - left <= most:
+                return left, found
+        while not self.whole[limit]:
+            limit -= 1
+        return limit, len(self.places)
+
+
+def pieces_of(text: _Text, limit: int, overlap: int) -> tuple[list[int], list[int], list[int]]:
+    """Starts, ends and levels (of the cut at the end) of the pieces of a text larger than ``limit``."""
+    overlap = min(max(overlap, 0), limit * 3 // 4, max(0, limit - 8))
+    most = limit - overlap - (3 if overlap else 0)  # the overlap may grow to complete a character
+    starts, stops, cuts = [], [], []
+    start, n, whole = 0, text.n, text.whole
+    while n - start > limit:
+        end, level = text.cut(start + limit, most)
+        starts.append(start)
+        stops.append(end)
+        cuts.append(level)
+        start = end - overlap
+        while not whole[start]:
             start -= 1
+    starts.append(start)
+    stops.append(n)
+    cuts.append(len(LEVELS) - 1)
+    return starts, stops, cuts
 
 
 def split_texts(df: DataFrame, profiles: list[tuple[str, int, int]], tokenizer: str = "byte_bpe_50k", directory: str | None = None) -> DataFrame:
@@ -149,12 +149,12 @@ def split_texts(df: DataFrame, profiles: list[tuple[str, int, int]], tokenizer:
     least = min((n for _, n, _ in profiles), default=0)
     names = ["profil", "doc_id", "rang", "debut", "fin", "n_tokens", "niveau", "texte"]
     schema = "profil string, doc_id bigint, rang int, debut int, fin int, n_tokens int, niveau string, texte string"
-    kinds = [pa.string(), pa.int64(), *[pa.int32()] * 4, pa.string(), pa.string()]
 
     def run(batches):
         enc = bpe.load(path)
         for b in batches:
-            rows: list[tuple] = []
+            done: list[tuple] = []  # (profile, document, starts, stops, levels)
+            texts: list[str] = []
             held = 0
             for doc, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if not t or len(t) * 4 <= least:  # a character has at most 4 tokens
@@ -166,19 +166,29 @@ def split_texts(df: DataFrame, profiles: list[tuple[str, int, int]], tokenizer:
                 ends = np.cumsum(enc.lengths[ids])
                 places = _Text(data, ends)
                 offset = [0, *ends.tolist()]
-                for name, limit, overlap in profiles:
+                for p, (_, limit, overlap) in enumerate(profiles):
                     if len(ids) > limit:
-                        for rank, (s, e, level) in enumerate(pieces_of(places, limit, overlap)):
-                            rows.append((name, doc, rank, s, e, e - s, LEVELS[level], data[offset[s] : offset[e]].decode("utf-8", "replace")))
-                            held += offset[e] - offset[s]
+                        starts, stops, cuts = pieces_of(places, limit, overlap)
+                        done.append((p, doc, starts, stops, cuts))
+                        texts += [data[offset[s] : offset[e]].decode("utf-8", "replace") for s, e in zip(starts, stops)]
+                        held += len(data)
                 if held > 8 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
-                    rows, held = [], 0
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
-
-    texts = df.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL AND text <> ''")
-    return spread(texts).mapInArrow(run, schema)
+                    yield _batch(done, texts)
+                    done, texts, held = [], [], 0
+            if done:
+                yield _batch(done, texts)
+
+    def _batch(done: list[tuple], texts: list[str]) -> pa.RecordBatch:
+        sizes = np.array([len(x[2]) for x in done])
+        debut, fin = (np.fromiter(chain.from_iterable(x[k] for x in done), np.int32, len(texts)) for k in (2, 3))
+        level = pa.DictionaryArray.from_arrays(np.fromiter(chain.from_iterable(x[4] for x in done), np.int8, len(texts)), pa.array(LEVELS)).cast(pa.string())
+        profile = pa.DictionaryArray.from_arrays(np.repeat(np.array([x[0] for x in done], np.int8), sizes), pa.array([p for p, _, _ in profiles], pa.string())).cast(pa.string())
+        rank = np.concatenate([np.arange(n, dtype=np.int32) for n in sizes])
+        doc = np.repeat(np.array([x[1] for x in done], np.int64), sizes)
+        return pa.RecordBatch.from_arrays([profile, pa.array(doc), pa.array(rank), pa.array(debut), pa.array(fin), pa.array(fin - debut), level, pa.array(texts, pa.string())], names=names)
+
+    rows = df.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL AND text <> ''")
+    return spread(rows).mapInArrow(run, schema)
 
 
 def p9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
