@@ -19,9 +19,14 @@ def c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def count_in(text, characters: str) -> Column:
+    """How many characters of a class a text has: what goes when its runs are taken out (no array of hits)."""
+    return F.length(c(text)) - F.length(F.regexp_replace(c(text), characters + "+", ""))
+
+
 def token_estimate(text) -> Column:
     """Estimated tokens: one for each wide character, a quarter for each other one."""
-    wide = F.regexp_count(c(text), F.lit(WIDE))
+    wide = count_in(text, WIDE)
     return wide + F.floor((F.length(c(text)) - wide) / 4).cast("int")
 
 
@@ -33,14 +38,15 @@ def output_cap(text, mult: float = 2.0, floor: int = 768, ceiling: int = 6000) -
 
 def word_count(text) -> Column:
     """Letter runs, with ideographs and kana counted as half a word each."""
-    carrying = F.regexp_count(c(text), F.lit(NARROW))
-    words = F.regexp_count(F.regexp_replace(c(text), NARROW, " "), F.lit(r"\p{L}+"))
-    return words + F.floor(carrying / 2).cast("int")
+    rest = F.regexp_replace(c(text), NARROW + "+", " ")
+    # Every letter run becomes one mark; the marks are what is left to count.
+    marks = F.length(F.regexp_replace(F.regexp_replace(rest, r"\p{L}+", "\u0001"), "[^\u0001]+", ""))
+    return marks + F.floor(count_in(text, NARROW) / 2).cast("int")
 
 
 def cjk_rate(text) -> Column:
     """Share of wide characters; 0 for an empty text."""
-    return F.when(F.length(c(text)) == 0, 0.0).otherwise(F.regexp_count(c(text), F.lit(WIDE)) / F.length(c(text)))
+    return F.when(F.length(c(text)) == 0, 0.0).otherwise(count_in(text, WIDE) / F.length(c(text)))
 
 
 def strip_accents(text) -> Column:

@@ -7,26 +7,34 @@ from pyspark.sql import functions as F
 
 from lutrin.functions import text as T
 from lutrin.operators.profiling import tokens_sql, words_sql
-from lutrin.session import table
+from lutrin.session import spread, table
 
 #: Least ratio of answer to source tokens, by script of the source; sources under 8 tokens don't count.
 SHORT_WIDE, SHORT_LATIN, SHORT_FLOOR, COPY_FLOOR = 0.22, 0.55, 8, 12
 LOSS = 0.60
 
 
-def rules(source: str, answer: str, language: str) -> list[tuple[str, Column]]:
-    """(reason, predicate) from the coarsest to the finest; the order is their meaning."""
-    ts, tt = T.token_estimate(source), T.token_estimate(answer)
-    wide = F.col(language).isin("jp", "ja", "zh", "ko")
-    blank = F.trim(F.coalesce(answer, F.lit(""))) == ""
-    residual = F.when(wide, F.col(answer).rlike(T.NARROW)).otherwise((T.copy_key(source) == T.copy_key(answer)) & (F.length(T.copy_key(source)) >= COPY_FLOOR))
+def measured(df: DataFrame, source: str, answer: str, language: str) -> DataFrame:
+    """Add what the rules compare, each worked out once: sizes in tokens and words, keys, script."""
+    return df.withColumns({
+        "_ts": T.token_estimate(source), "_tt": T.token_estimate(answer), "_ws": T.word_count(source), "_wt": T.word_count(answer),
+        "_ks": T.copy_key(source), "_kt": T.copy_key(answer), "_large": F.col(language).isin("jp", "ja", "zh", "ko"),
+        "_vide": F.trim(F.coalesce(answer, F.lit(""))) == "", "_kana": F.col(answer).rlike(T.NARROW),
+    })
+
+
+def rules() -> list[tuple[str, Column]]:
+    """(reason, predicate) from the coarsest to the finest; the order is their meaning.  On ``measured``."""
+    c = F.col
+    cap = F.greatest(F.lit(768), F.least(F.lit(6000), F.floor(c("_ts") * 2.0).cast("int") + 256))
+    residual = F.when(c("_large"), c("_kana")).otherwise((c("_ks") == c("_kt")) & (F.length("_ks") >= COPY_FLOOR))
     return [
-        ("vide", blank),
-        ("emballement", tt >= T.output_cap(source) * 0.95),
+        ("vide", c("_vide")),
+        ("emballement", c("_tt") >= cap * 0.95),
         ("source_residuelle", residual),
-        ("trop_longue", tt > F.greatest(F.lit(24), ts * 3)),
-        ("trop_courte", (ts >= SHORT_FLOOR) & (tt < F.when(wide, SHORT_WIDE).otherwise(SHORT_LATIN) * ts)),
-        ("perte_mots", T.word_count(answer) < T.word_count(source) * LOSS),
+        ("trop_longue", c("_tt") > F.greatest(F.lit(24), c("_ts") * 3)),
+        ("trop_courte", (c("_ts") >= SHORT_FLOOR) & (c("_tt") < F.when(c("_large"), SHORT_WIDE).otherwise(SHORT_LATIN) * c("_ts"))),
+        ("perte_mots", c("_wt") < c("_ws") * LOSS),
     ]
 
 
@@ -42,20 +50,21 @@ def all_reasons(registry: list[tuple[str, Column]]) -> Column:
 
 
 def _pairs(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "bulles").where("ocr IS NOT NULL AND trim(ocr) <> ''")
+    return measured(spread(table(s, d, "bulles").select("bulle_id", "canal", "ocr", "traduction", "langue_source")).where("ocr IS NOT NULL AND trim(ocr) <> ''"), "ocr", "traduction", "langue_source")
 
 
 def first_failure_reason(s: SparkSession, d: str) -> DataFrame:
-    return _pairs(s, d).select("bulle_id", first_reason(rules("ocr", "traduction", "langue_source")).alias("motif")).where("motif IS NOT NULL")
+    # A generator instead of a filter on the result: the optimizer would copy the whole registry into the scan.
+    return _pairs(s, d).select("bulle_id", F.explode(F.slice(all_reasons(rules()), 1, 1)).alias("motif"))
 
 
 def all_failure_reasons(s: SparkSession, d: str) -> DataFrame:
-    rows = _pairs(s, d).select("bulle_id", F.array_join(all_reasons(rules("ocr", "traduction", "langue_source")), "+").alias("motifs"))
-    return rows.where("motifs <> ''")
+    rows = _pairs(s, d).select("bulle_id", all_reasons(rules()).alias("m"))
+    return rows.select("bulle_id", F.explode(F.when(F.size("m") > 0, F.array(F.array_join("m", "+"))).otherwise(F.array().cast("array<string>"))).alias("motifs"))
 
 
 def reason_histogram(s: SparkSession, d: str) -> DataFrame:
-    rows = _pairs(s, d).select("canal", F.explode(all_reasons(rules("ocr", "traduction", "langue_source"))).alias("motif"))
+    rows = _pairs(s, d).select("canal", F.explode(all_reasons(rules())).alias("motif"))
     return rows.groupBy("canal", "motif").agg(F.count("*").alias("n"))
 
 
