@@ -240,8 +240,10 @@ def _layout(common: frozenset):
                     a, z = lookalikes.look(left).casefold(), lookalikes.look(right).casefold()
                     sure = sign in "¬" + chr(0xAD) or (sign in "-‐‑" and (right[0].islower() or left.isupper()) and a not in common)
                     add(champ, cle, i, "cesure" if sure else "cesure?", a + z, f"{a}-{z}", None)
+                    # a half is no word of its own; only signs inside it show a misreading
                     for part in (*words_of(left), *words_of(right)):
-                        parted.setdefault(i, set()).add(part)
+                        if part.isalpha():
+                            parted.setdefault(i, set()).add(part)
                 for i, line in enumerate(lines):
                     if i not in noise and line and _LATIN.search(line):
                         rare = {w for w in words_of(line) if w not in common} - parted.get(i, set()) - parted.get(i - 1, set())
