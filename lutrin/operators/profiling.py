@@ -78,7 +78,7 @@ def furniture_keys(s: SparkSession, d: str) -> DataFrame:
     rows = T.lines(e, "extrait_id", "text").join(e.select("extrait_id", "outil"), "extrait_id").select("outil", "extrait_id", T.repeat_key("ligne").alias("cle")).where("cle <> ''")
     per = rows.groupBy("outil", "cle").agg(F.countDistinct("extrait_id").alias("fichiers"))
     total = e.groupBy("outil").agg(F.count("*").alias("n"))
-    return per.join(F.broadcast(total.limit(10_000)), "outil").where(F.col("fichiers") * 10 >= F.col("n")).select("outil", "cle", "fichiers")
+    return per.join(total, "outil").where(F.col("fichiers") * 10 >= F.col("n")).select("outil", "cle", "fichiers")
 
 
 def origin_histogram(s: SparkSession, d: str) -> DataFrame:

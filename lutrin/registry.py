@@ -12,6 +12,7 @@ _MODULES: tuple[str, ...] = (
     "lutrin.operators.entities",
     "lutrin.operators.spatial",
     "lutrin.operators.cleaning",
+    "lutrin.operators.raster",
     "lutrin.operators.documents",
     "lutrin.streaming.progress",
 )
