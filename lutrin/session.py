@@ -10,6 +10,22 @@ from pyspark.sql import DataFrame, SparkSession
 _SMALL_ROWS = 10_000
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Let the Python workers import this library: by its place where executors share the machine, else as
+    an archive Spark hands out (once per context)."""
+    sc = spark.sparkContext
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    paths = [p for p in (sc.environment.get("PYTHONPATH") or os.environ.get("PYTHONPATH") or "").split(os.pathsep) if p]
+    if root not in paths:
+        sc.environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
+    if not sc.master.startswith("local") and not getattr(sc, "_lutrin_shipped", False):
+        import shutil
+
+        base = os.path.join(tempfile.mkdtemp(), "lutrin")
+        sc.addPyFile(shutil.make_archive(base, "zip", root, "lutrin"))
+        sc._lutrin_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Lazily read one parquet table of the data directory (a file or a directory of parts)."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
