@@ -13,6 +13,7 @@ _MODULES: tuple[str, ...] = (
     "lutrin.operators.spatial",
     "lutrin.operators.cleaning",
     "lutrin.operators.raster",
+    "lutrin.operators.restoration",
     "lutrin.operators.documents",
     "lutrin.streaming.progress",
 )
