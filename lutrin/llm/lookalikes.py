@@ -230,12 +230,14 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def consistent_forms(rows: DataFrame, key: str, text: str, keep: list[str] = (), shards: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(odd, plain): ``k, *keep, text, form`` of the odd rows, ``k, *keep`` of the plain ones.
 
-    A plain row's value is its own form.  ``key`` must tell rows apart and be non-null; rows whose value is
-    null are in neither.  ``keep`` must not hold the names k, text, form, segments, at, tokens or looks.
+    A plain row's value is its own form.  ``k`` names a row's key and value (repeated rows share it); rows whose
+    key or value is null are in neither.  ``keep`` must not hold the names k, text, form, segments, at, tokens
+    or looks.
     """
     spark = rows.sparkSession
     shards = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
-    rows = rows.select(F.col(key).alias("k"), *keep, F.col(text).cast("string").alias("text")).where("text IS NOT NULL AND k IS NOT NULL")
+    value = F.col(text).cast("string")
+    rows = rows.where(F.col(key).isNotNull() & value.isNotNull()).select(F.concat_ws("#", F.col(key).cast("string"), F.xxhash64(value).cast("string")).alias("k"), *keep, value.alias("text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     seen = materialise(spread(rows).mapInArrow(_survey, f"{kinds}, segments array<string>, at array<int>, tokens array<string>, looks array<string>"))
     cut = seen.where("text IS NOT NULL")
@@ -255,10 +257,9 @@ def consistent_forms(rows: DataFrame, key: str, text: str, keep: list[str] = (),
         .cogroup(tokens.select(shard, "token").groupBy("shard"))
         .applyInPandas(_shard, "token string, form string")
     )
-    words = found.join(forms, "token").groupBy("k").agg(F.map_from_entries(F.collect_list(F.struct("at", "form"))).alias("forms"))
+    words = found.join(forms, "token").groupBy("k").agg(F.map_from_entries(F.collect_set(F.struct("at", "form"))).alias("forms"))
     whole = F.concat_ws("", F.transform("segments", lambda x, i: F.coalesce(F.try_element_at("forms", i), x)))
-    kind = rows.schema["k"].dataType.simpleString()
-    done = cut.select("k", "segments").join(words, "k", "left").select("k", whole.alias("form")).mapInArrow(_finish, f"k {kind}, form string")
+    done = cut.select("k", "segments").dropDuplicates(["k"]).join(words, "k", "left").select("k", whole.alias("form")).mapInArrow(_finish, "k string, form string")
     return cut.select("k", *keep, "text").join(done, "k"), seen.where("text IS NULL AND k IS NOT NULL").select("k", *keep)
 
 
@@ -298,5 +299,6 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p6_formes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every ``bulles.ocr`` in its consistent form; null stays null."""
     bubbles, _ = _values(spark, sf_dir)
-    odd, _ = consistent_forms(bubbles, "bulle_id", "texte")
-    return bubbles.join(odd.select(F.col("k").alias("bulle_id"), "form"), "bulle_id", "left").select(F.col("bulle_id").alias("cle"), F.coalesce("form", "texte").alias("forme"))
+    odd, _ = consistent_forms(bubbles, "bulle_id", "texte", ["bulle_id"])
+    found = odd.select("bulle_id", F.col("text").alias("texte"), "form").distinct()
+    return bubbles.join(found, ["bulle_id", "texte"], "left").select(F.col("bulle_id").alias("cle"), F.coalesce("form", "texte").alias("forme"))

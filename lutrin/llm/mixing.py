@@ -6,7 +6,8 @@ a second apportionment spreads a source's blocks over its shards by their size,
 quotas; inside a shard, records come in a seeded order and are taken round after round (a whole round
 is one use of every record) up to the record whose running size is nearest the quota.
 
-Defined results: texts that are null or empty have no size and are never taken.  A source of a mix that
+Defined results: texts that are null or empty have no size and are never taken, nor are
+rows without a key; rows that repeat a key are one record.  A source of a mix that
 is absent from the corpus gets nothing; the others keep their shares relative to each other, and the
 report shows target, aimed-at and reached share.  By default the total is the largest one at which
 every present source reaches its share within its allowed repetitions.  Null shares or shares <= 0 get
@@ -64,13 +65,13 @@ def mix_quotas(sizes: DataFrame, targets: DataFrame, blocks: int = BLOCKS, total
 
 def mix_sources(documents: DataFrame, targets: DataFrame, blocks: int = BLOCKS, total_tokens: int | None = None, seed: int = SEED, tokenizer: str = "byte_bpe_50k", directory: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(records, report): records has ``melange, source, doc_id, n_tokens, repetitions``; see the module."""
-    used = documents.select("doc_id", "source", "text").join(F.broadcast(targets.select("source").distinct().limit(10_000)), "source", "left_semi")
-    sizes = cut_lineage(token_counts(used, "text", ["doc_id", "source"], tokenizer, directory).where("n_tokens > 0"))
+    used = documents.select("doc_id", "source", "text").join(targets.select("source").distinct(), "source", "left_semi")
+    sizes = cut_lineage(token_counts(used, "text", ["doc_id", "source"], tokenizer, directory).where("n_tokens > 0 AND doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
     quotas = cut_lineage(mix_quotas(sizes, targets, blocks, total_tokens))
 
     # Shards: as many per source as it has SHARD_ROWS records, so no window grows with the corpus.
     per_source = sizes.groupBy("source").agg(F.ceil(F.count("*") / SHARD_ROWS).alias("n_shards"))
-    sharded = sizes.join(F.broadcast(per_source), "source").select("doc_id", "source", "n_tokens", F.xxhash64("doc_id", F.lit(seed)).alias("h"), F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.col("n_shards")).alias("shard"))
+    sharded = sizes.join(per_source, "source").select("doc_id", "source", "n_tokens", F.xxhash64("doc_id", F.lit(seed)).alias("h"), F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.col("n_shards")).alias("shard"))
     shard_sizes = sharded.groupBy("source", "shard").agg(F.sum("n_tokens").alias("shard_tokens"))
     spread = shard_sizes.join(quotas.select("melange", "source", "repetitions_max", "block", "quota_blocks"), "source").withColumn("shard_cap", F.ceil(F.col("shard_tokens") * F.col("repetitions_max") / F.col("block")))
     spread = _apportion(spread, ["melange", "source"], "shard", "shard_tokens", "shard_cap", "quota_blocks", "shard_blocks")

@@ -6,7 +6,7 @@ finer level only.  Parts are packed greedily up to the limit (each cut is looked
 ``overlap`` tokens before the end of the one before.  Places are token boundaries of the whole text's
 encoding, so a piece's ids are a slice of the text's ids and the overlap is exact.
 
-Defined results: texts of at most ``limit`` tokens, null, empty ones included, give no rows.  A piece
+Defined results: texts of at most ``limit`` tokens, null, empty ones included, give no rows; a row with a null key keeps it.  A piece
 never ends or starts inside a character; where the exact overlap would start inside one, the overlap
 grows by the one to three tokens that complete it.  An overlap that is null or negative counts as 0, one
 that leaves less than a quarter of the limit, or less than 8 tokens, for new text is reduced.  Limits under
@@ -184,8 +184,8 @@ def split_texts(df: DataFrame, profiles: list[tuple[str, int, int]], tokenizer:
         level = pa.DictionaryArray.from_arrays(np.fromiter(chain.from_iterable(x[4] for x in done), np.int8, len(texts)), pa.array(LEVELS)).cast(pa.string())
         profile = pa.DictionaryArray.from_arrays(np.repeat(np.array([x[0] for x in done], np.int8), sizes), pa.array([p for p, _, _ in profiles], pa.string())).cast(pa.string())
         rank = np.concatenate([np.arange(n, dtype=np.int32) for n in sizes])
-        doc = np.repeat(np.array([x[1] for x in done], np.int64), sizes)
-        return pa.RecordBatch.from_arrays([profile, pa.array(doc), pa.array(rank), pa.array(debut), pa.array(fin), pa.array(fin - debut), level, pa.array(texts, pa.string())], names=names)
+        doc = pa.array([x[1] for x in done], pa.int64()).take(pa.array(np.repeat(np.arange(len(done)), sizes)))
+        return pa.RecordBatch.from_arrays([profile, doc, pa.array(rank), pa.array(debut), pa.array(fin), pa.array(fin - debut), level, pa.array(texts, pa.string())], names=names)
 
     rows = df.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL AND text <> ''")
     return spread(rows).mapInArrow(run, schema)

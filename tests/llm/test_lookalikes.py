@@ -49,7 +49,9 @@ def test_cases(spark):
 
 def test_form_prefers_the_spelling_in_use(spark):
     df = spark.createDataFrame([(k, t) for k, t in enumerate(["もう一度", "もう一度", "もうー度", "力ルーヤ", "カルーヤ", "ﬁn"])], "k bigint, t string")
-    odd, _ = L.consistent_forms(df.withColumnRenamed("k", "key"), "key", "t")
+    df = df.unionByName(df).withColumnRenamed("k", "key")  # rows that repeat
+    odd, _ = L.consistent_forms(df, "key", "t")
+    assert odd.count() == 6
     assert {r.text: r.form for r in odd.collect()} == {"もうー度": "もう一度", "力ルーヤ": "カルーヤ", "ﬁn": "fin"}
 
 

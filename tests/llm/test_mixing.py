@@ -62,3 +62,11 @@ def test_empty_tables(spark, vocabulary):
     docs, targets = _documents(spark, {"a": [3]}), _targets(spark, [("m", "a", 1.0, 1)])
     assert mixing.mix_sources(docs.limit(0), targets, directory=vocabulary)[0].count() == 0
     assert mixing.mix_sources(docs, targets.limit(0), directory=vocabulary)[1].count() == 0
+
+
+def test_repeated_rows_are_one_record(spark, vocabulary):
+    docs = _documents(spark, {"a": [10] * 20})
+    twice = docs.unionByName(docs).unionByName(spark.createDataFrame([(None, "mot mot", "a", "x")], docs.schema))
+    records, _ = mixing.mix_sources(twice, _targets(spark, [("m", "a", 1.0, 1)]), blocks=20, directory=vocabulary)
+    rows = records.collect()
+    assert len({r.doc_id for r in rows}) == len(rows) == 20 and {r.repetitions for r in rows} == {1}

@@ -51,6 +51,8 @@ def test_limits_and_empty_tables(spark, vocabulary):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     assert splitting.split_texts(df, PROFILES, directory=vocabulary).count() == 0
     assert splitting.split_texts(df, [], directory=vocabulary).count() == 0
+    nameless = spark.createDataFrame([(None, "mot " * 40), (None, "mot " * 40)], "doc_id bigint, text string")
+    assert {r.doc_id for r in splitting.split_texts(nameless, PROFILES, directory=vocabulary).collect()} == {None}
     with pytest.raises(ValueError):
         splitting.split_texts(df, [("z", 4, 0)], directory=vocabulary)
     # an overlap that leaves no room is reduced, and the text still ends
