@@ -140,15 +140,15 @@ def _cuts(text: str, rng: np.random.Generator, limits: list[int]) -> list[tuple[
     return [(t.rstrip(), a) for t, a in out if t.strip() and end_class(t.rstrip()) not in ("stop", "marker")]
 
 
-def training_set(sample: list[tuple], limits: list[int], seed: int = 11) -> tuple[list[list[int]], list[int]]:
+def training_set(sample: list[tuple], limits: list[int]) -> tuple[list[list[int]], list[int]]:
     """Positives cut from intact values, and the intact values themselves.
 
-    ``sample`` holds (field, text, source text or None, pair); intact are values that end as complete
+    ``sample`` holds (field, text, source text or None, pair, seed); intact are values that end as complete
     ones do, or, with a source text, that end without a stop just as it does.
     """
-    rng = np.random.default_rng(seed)
     rows, labels = [], []
-    for field, text, source, pair in sample:
+    for field, text, source, pair, seed in sample:
+        rng = np.random.default_rng(seed & 0xFFFFFFFF)
         body, debris = strip_debris(furniture.content(text))
         if debris or not body:
             continue
@@ -195,15 +195,26 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fit_cutter(rows: DataFrame, limits: dict, sample: int = SAMPLE) -> Cutter:
     """Fit on about ``sample`` values per field and language pair, those with the smallest hashed keys,
-    and at most ``sample * 24`` in all (the bound of what reaches the driver)."""
+    and at most ``sample * 96`` examples in all; hashed features, not texts, reach the driver."""
     full = rows.where("texte IS NOT NULL AND trim(texte) <> ''").select("champ", F.coalesce("paire", F.lit("")).alias("paire"), "texte", "ocr", F.shiftrightunsigned(F.xxhash64("cle", F.lit(3)), 1).alias("h"))
     sizes = full.groupBy("champ", "paire").agg(F.count("*").alias("n"))
     few = full.join(F.broadcast(sizes), ["champ", "paire"]).where(F.col("h") / F.lit(float(1 << 63)) < F.lit(float(sample)) / F.col("n")).select("champ", "paire", "texte", "ocr", "h")
-    got = [(r.champ, r.texte, r.ocr, r.paire) for r in sorted(few.limit(sample * 24).collect(), key=lambda r: (r.champ, r.paire, r.h, r.texte))]
     spans = sorted({int(x) for pair in limits.values() for x in pair if x})
-    x, y = training_set(got, spans)
+
+    def examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Features alone leave the executors; the texts stay there."""
+        for b in batches:
+            d = b.to_pydict()
+            x, y, h = [], [], []
+            for c, p, t, o, k in zip(d["champ"], d["paire"], d["texte"], d["ocr"], d["h"]):
+                some, labels = training_set([(c, t, o, p, k)], spans)
+                x, y, h = x + some, y + labels, h + [k] * len(labels)
+            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(y, pa.int32()), pa.array(x, pa.list_(pa.int32()))], names=["h", "y", "x"])
+
+    made = few.mapInArrow(examples, "h bigint, y int, x array<int>").limit(sample * 96).collect()
+    made.sort(key=lambda r: (r.h, r.y, r.x))
     model = Cutter()
-    return model.fit(x, y) if 0 < sum(y) < len(y) else model
+    return model.fit([r.x for r in made], [r.y for r in made]) if 0 < sum(r.y for r in made) < len(made) else model
 
 
 def limits_of(rows: DataFrame) -> dict:
