@@ -5,7 +5,8 @@ random places and at the limits the sources show, with and without debris, to ma
 regression over hashed features of the closing characters and words, the punctuation of both sides and
 the length against the source's limit is fitted on them and scores every record.  An exact check follows
 for bubbles: a value that is empty, a placeholder or the source text given back is not a cut one, and a
-line whose own source has no final stop counts only where the length against the limit or debris shows it.
+line whose own source has no final stop counts only where the length against the limit or debris shows it,
+or where the model is sure (``UNFINISHED``) that it stops inside a word or phrase.
 
 The limits are statistics over all data: for every source the largest length in characters and in bytes,
 and how many of its values end right there.
@@ -33,6 +34,8 @@ from lutrin.session import small_rows, spread, table
 #: Largest number of intact values per field and language from which positives are made.
 SAMPLE = 4_000
 BITS = 16
+#: Least probability of a cut where the source has no final stop either.
+UNFINISHED = 0.985
 _STOP = ".!?…。！？"
 _CLOSE = "\"'»”’」』)）]】  "
 _BREAK = "—―–"
@@ -237,6 +240,7 @@ def judge(model: Cutter, limit: tuple, champ: str, text: str | None, source_text
         return 0.0
     lim_c, lim_o = limit
     at = 0 if not (lim_c or lim_o) else 2 if (lim_c and len(text) >= lim_c) or (lim_o and len(text.encode("utf-8", "replace")) >= lim_o - 3) else 1
+    unfinished = False
     if champ == "bulles.traduction":
         if answers.is_empty(text):
             return 0.0
@@ -245,10 +249,12 @@ def judge(model: Cutter, limit: tuple, champ: str, text: str | None, source_text
             if answers.is_copy(source_text, text):
                 return 0.0
             if end_class(source_text) in ("word", "none", "marker") and not debris and at < 2:
-                return 0.0
+                unfinished = True
     if debris and end != "word":
         return 1.0
-    return model.score(features(champ, body, source_text, at, pair))
+    p = model.score(features(champ, body, source_text, at, pair))
+    # A line may end as its source does, without a stop: only what stops inside a word or phrase is cut then.
+    return p if not unfinished or p >= UNFINISHED else 0.0
 
 
 def score_records(rows: DataFrame, model: Cutter, limits: dict) -> DataFrame:
