@@ -7,8 +7,9 @@ finer level only.  Parts are packed greedily up to the limit (each cut is looked
 encoding, so a piece's ids are a slice of the text's ids and the overlap is exact.
 
 Defined results: texts of at most ``limit`` tokens, null, empty ones included, give no rows; a row with a null key keeps it.  A piece
-never ends or starts inside a character; where the exact overlap would start inside one, the overlap
-grows by the one to three tokens that complete it.  An overlap that is null or negative counts as 0, one
+never ends or starts inside a character; where the exact overlap would start inside one, an earlier
+place of the same level is taken if the piece stays three quarters full, else the overlap grows by the one to
+three tokens that complete the character.  An overlap that is null or negative counts as 0, one
 that leaves less than a quarter of the limit, or less than 8 tokens, for new text is reduced.  Limits under
 8 (a character can take 4 tokens) are refused.
 """
@@ -16,7 +17,7 @@ that leaves less than a quarter of the limit, or less than 8 tokens, for new tex
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from itertools import chain
 
 import numpy as np
@@ -120,6 +121,23 @@ class _Text:
         return limit, len(self.places)
 
 
+    def exact(self, end: int, level: int, overlap: int, least: int) -> int:
+        """The last place of the same level, not under ``least``, whose overlap starts with a character."""
+        whole = self.whole
+        if level < len(self.places):
+            places = self.places[level]
+            i = bisect_left(places, end) - 1
+            while i >= 0 and places[i] >= least:
+                if whole[places[i] - overlap]:
+                    return places[i]
+                i -= 1
+        else:
+            for k in range(end - 1, least - 1, -1):
+                if whole[k] and whole[k - overlap]:
+                    return k
+        return end
+
+
 def pieces_of(text: _Text, limit: int, overlap: int) -> tuple[list[int], list[int], list[int]]:
     """Starts, ends and levels (of the cut at the end) of the pieces of a text larger than ``limit``."""
     overlap = min(max(overlap, 0), limit * 3 // 4, max(0, limit - 8))
@@ -128,6 +146,8 @@ def pieces_of(text: _Text, limit: int, overlap: int) -> tuple[list[int], list[in
     start, n, whole = 0, text.n, text.whole
     while n - start > limit:
         end, level = text.cut(start + limit, most)
+        if overlap and not whole[end - overlap]:
+            end = text.exact(end, level, overlap, start + limit * 3 // 4)
         starts.append(start)
         stops.append(end)
         cuts.append(level)
