@@ -75,8 +75,8 @@ def q_drift_volume(s, d):
 
 
 def q_forced_replace(s, d):
-    """Banned spellings replaced by the name: how many bubbles of the work a whole-word replacement changes."""
-    bans = _people(s, d).where("oeuvre IS NOT NULL AND nom IS NOT NULL AND trim(nom) <> ''").select("oeuvre", "nom", F.explode("interdits").alias("ban")).where(F.col("ban").rlike(r"^[\p{L}]+$")).groupBy("oeuvre", "ban").agg(F.min("nom").alias("nom"))
+    """Banned and variant spellings replaced by the name: how many bubbles of the work a whole-word replacement changes."""
+    bans = _people(s, d).where("oeuvre IS NOT NULL AND nom IS NOT NULL AND trim(nom) <> ''").select("oeuvre", "nom", F.explode(F.array_distinct(F.concat(F.coalesce("interdits", F.array().cast("array<string>")), F.coalesce("variantes", F.array().cast("array<string>"))))).alias("ban")).where(F.col("ban").rlike(r"^[\p{L}]+$") & (F.col("ban") != F.col("nom"))).groupBy("oeuvre", "ban").agg(F.min("nom").alias("nom"))
     words = table(s, d, "bulles").where("traduction IS NOT NULL AND oeuvre IS NOT NULL").select("bulle_id", "oeuvre", F.explode(F.array_distinct(F.regexp_extract_all("traduction", F.lit(r"(\p{L}+)"), F.lit(1)))).alias("ban"))
     return words.join(bans, ["oeuvre", "ban"]).groupBy("oeuvre", "ban", "nom").agg(F.count("*").alias("bulles"))
 
@@ -184,7 +184,7 @@ SQL = {
     "known_forms": "SELECT oeuvre, count(DISTINCT lower(trim(f, ' '))) AS formes FROM (SELECT oeuvre, unnest(list_concat([nom, pluriel], coalesce(variantes, []), coalesce(interdits, []))) AS f FROM personnages) WHERE f IS NOT NULL AND trim(f, ' ') <> '' GROUP BY 1",
     "capitalised_candidates": r"SELECT mot, count(*) AS n, count(DISTINCT doc_id) AS documents FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[\p{Ll},] (\p{Lu}[\p{L}-]{4,})', 1)) AS mot FROM documents WHERE text IS NOT NULL AND lower(lang) LIKE 'fr%') GROUP BY 1 HAVING count(*) >= 3",
     "drift_volume": f"WITH w AS (SELECT oeuvre, unnest(regexp_extract_all(translate(traduction, '{_A}', '{_P}'), '[a-z,] ([A-Z][a-z]{{4,}})', 1)) AS mot FROM bulles WHERE langue_cible = 'fr' AND traduction IS NOT NULL AND oeuvre IS NOT NULL), n AS (SELECT oeuvre, mot, count(*) AS n FROM w GROUP BY 1, 2) SELECT a.oeuvre, a.mot AS nom, b.mot AS candidat, a.n AS na, b.n AS nb FROM n a JOIN n b ON a.oeuvre = b.oeuvre AND a.mot <> b.mot AND a.n >= 5 AND a.n >= 3 * b.n AND (left(a.mot, 3) = left(b.mot, 3) OR right(a.mot, 3) = right(b.mot, 3)) AND levenshtein(lower(a.mot), lower(b.mot)) <= CASE WHEN length(a.mot) <= 7 THEN 1 ELSE 2 END AND b.mot NOT IN (a.mot || 's', a.mot || 'x')",
-    "forced_replace": r"WITH b AS (SELECT oeuvre, ban, min(nom) AS nom FROM (SELECT oeuvre, nom, unnest(interdits) AS ban FROM personnages WHERE oeuvre IS NOT NULL AND nom IS NOT NULL AND trim(nom, ' ') <> '') WHERE regexp_matches(ban, '^\p{L}+$') GROUP BY 1, 2), w AS (SELECT bulle_id, oeuvre, unnest(list_distinct(regexp_extract_all(traduction, '(\p{L}+)', 1))) AS ban FROM bulles WHERE traduction IS NOT NULL AND oeuvre IS NOT NULL) SELECT oeuvre, ban, nom, count(*) AS bulles FROM w JOIN b USING (oeuvre, ban) GROUP BY ALL",
+    "forced_replace": r"WITH b AS (SELECT oeuvre, ban, min(nom) AS nom FROM (SELECT oeuvre, nom, unnest(list_distinct(list_concat(coalesce(interdits, []), coalesce(variantes, [])))) AS ban FROM personnages WHERE oeuvre IS NOT NULL AND nom IS NOT NULL AND trim(nom, ' ') <> '') WHERE regexp_matches(ban, '^\p{L}+$') AND ban <> nom GROUP BY 1, 2), w AS (SELECT bulle_id, oeuvre, unnest(list_distinct(regexp_extract_all(traduction, '(\p{L}+)', 1))) AS ban FROM bulles WHERE traduction IS NOT NULL AND oeuvre IS NOT NULL) SELECT oeuvre, ban, nom, count(*) AS bulles FROM w JOIN b USING (oeuvre, ban) GROUP BY ALL",
     "missing_terms": r"WITH t AS (SELECT oeuvre, terme, min(nom) AS nom FROM (SELECT oeuvre, nom, unnest(termes_source) AS terme FROM personnages WHERE oeuvre IS NOT NULL AND nom IS NOT NULL AND trim(nom, ' ') <> '') WHERE length(terme) >= 4 AND terme NOT LIKE '%・%' GROUP BY 1, 2), w AS (SELECT bulle_id, oeuvre, traduction, unnest(list_distinct(regexp_extract_all(ocr, '([ァ-ヺー]+)', 1))) AS terme FROM bulles WHERE langue_source = 'ja' AND ocr IS NOT NULL AND traduction IS NOT NULL AND oeuvre IS NOT NULL) SELECT oeuvre, terme, count(*) AS bulles FROM w JOIN t USING (oeuvre, terme) WHERE regexp_extract(nom, '^(\p{L}+)', 1) <> '' AND instr(lower(traduction), lower(regexp_extract(nom, '^(\p{L}+)', 1))) = 0 GROUP BY 1, 2",
     "gender_evidence": r"WITH x AS (SELECT unnest(regexp_extract_all(lower(text), '((?:le|la|un|une) \p{L}{4,})', 1)) AS x FROM documents WHERE text IS NOT NULL AND lower(lang) LIKE 'fr%'), y AS (SELECT split_part(x, ' ', 2) AS mot, count(*) FILTER (split_part(x, ' ', 1) IN ('le', 'un')) AS m, count(*) FILTER (split_part(x, ' ', 1) IN ('la', 'une')) AS f FROM x GROUP BY 1) SELECT mot, m, f, CASE WHEN m - f >= 2 THEN 'm' WHEN f - m >= 2 THEN 'f' END AS genre FROM y WHERE m + f >= 2",
     "mention_context": _L + ", i AS (SELECT doc_id, pos, CASE WHEN regexp_matches(lower(ligne), 'lanterne|horloge|lantern|clock') THEN 1 ELSE 0 END AS ici FROM l), p AS (SELECT doc_id, ici, max(ici) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS pres FROM i) SELECT doc_id, sum(ici) AS mentions, sum(pres) AS lignes FROM p GROUP BY 1 HAVING sum(ici) > 0",

@@ -69,9 +69,9 @@ def reason_histogram(s: SparkSession, d: str) -> DataFrame:
 
 
 def runaway_repetition(s: SparkSession, d: str) -> DataFrame:
-    """Documents in which a line of 60 characters or more stands at least three times."""
-    rows = T.lines(table(s, d, "documents"), "doc_id", "text").select("doc_id", F.trim("ligne").alias("l")).where("length(l) >= 60")
-    return rows.groupBy("doc_id", "l").agg(F.count("*").alias("n")).where("n >= 3").groupBy("doc_id").agg(F.max("n").alias("plus"), F.count("*").alias("lignes"))
+    """Extracts in which a line of 40 characters or more stands at least three times."""
+    rows = T.lines(table(s, d, "extraits"), "extrait_id", "text").select("extrait_id", F.trim("ligne").alias("l")).where("length(l) >= 40")
+    return rows.groupBy("extrait_id", "l").agg(F.count("*").alias("n")).where("n >= 3").groupBy("extrait_id").agg(F.max("n").alias("plus"), F.count("*").alias("lignes"))
 
 
 def repeated_line_collapse(s: SparkSession, d: str) -> DataFrame:
@@ -132,7 +132,7 @@ SQL = {
     "first_failure_reason": _R + " SELECT bulle_id, CASE WHEN m1 THEN 'vide' WHEN m2 THEN 'emballement' WHEN m3 THEN 'source_residuelle' WHEN m4 THEN 'trop_longue' WHEN m5 THEN 'trop_courte' ELSE 'perte_mots' END AS motif FROM r WHERE m1 OR m2 OR m3 OR m4 OR m5 OR m6",
     "all_failure_reasons": _R + f" SELECT bulle_id, array_to_string({_LIST}, '+') AS motifs FROM r WHERE m1 OR m2 OR m3 OR m4 OR m5 OR m6",
     "reason_histogram": _R + f" SELECT canal, motif, count(*) AS n FROM (SELECT canal, unnest({_LIST}) AS motif FROM r) GROUP BY ALL",
-    "runaway_repetition": _LINES + " SELECT doc_id, max(n) AS plus, count(*) AS lignes FROM (SELECT doc_id, trim(ligne, ' ') AS l, count(*) AS n FROM l WHERE length(trim(ligne, ' ')) >= 60 GROUP BY 1, 2 HAVING count(*) >= 3) GROUP BY doc_id",
+    "runaway_repetition": "WITH l AS (SELECT extrait_id, trim(unnest(string_split(text, chr(10))), ' ') AS l FROM extraits WHERE text IS NOT NULL) SELECT extrait_id, max(n) AS plus, count(*) AS lignes FROM (SELECT extrait_id, l, count(*) AS n FROM l WHERE length(l) >= 40 GROUP BY 1, 2 HAVING count(*) >= 3) GROUP BY extrait_id",
     "repeated_line_collapse": _LINES + ", m AS (SELECT doc_id, length(trim(ligne, ' ')) AS t, count(*) OVER (PARTITION BY doc_id, trim(ligne, ' ')) AS n, row_number() OVER (PARTITION BY doc_id, trim(ligne, ' ') ORDER BY pos) AS r FROM l) SELECT doc_id, count(*) AS avant, count(*) FILTER (t < 60 OR n < 3 OR r = 1) AS apres FROM m GROUP BY doc_id",
     "dedup_bullets": _LINES + ", m AS (SELECT doc_id, pos, trim(ligne, ' ') AS ligne FROM l) SELECT doc_id, pos, ligne FROM m WHERE ligne LIKE '- %' OR ligne LIKE '* %' QUALIFY row_number() OVER (PARTITION BY doc_id, ligne ORDER BY pos) = 1",
     "contamination_exact_line": _LINES + " SELECT doc_id, count(*) AS lignes FROM l WHERE genre IS DISTINCT FROM 'guide' AND trim(ligne, ' ') IN (SELECT trim(ligne, ' ') FROM l WHERE genre = 'guide' AND length(trim(ligne, ' ')) >= 12) GROUP BY doc_id",

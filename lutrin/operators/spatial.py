@@ -54,11 +54,11 @@ def q_containment_anti(s, d):
 
 
 def q_recurring_places(s, d):
-    """Places (on a grid of 50) that hold a box on at least three pages of a volume and on 30 % of them."""
-    b = boxes(s, d).select("oeuvre", "tome", "planche", *[F.floor(F.col(c) / 50).alias(c) for c in ("x0", "y0", "x1", "y1")])
+    """Places (on a grid of 200) that hold a box on at least three pages of a volume and on a twentieth of them."""
+    b = boxes(s, d).select("oeuvre", "tome", "planche", *[F.floor(F.col(c) / 200).alias(c) for c in ("x0", "y0", "x1", "y1")])
     pages = b.groupBy("oeuvre", "tome").agg(F.countDistinct("planche").alias("toutes"))
     seen = b.groupBy("oeuvre", "tome", "x0", "y0", "x1", "y1").agg(F.countDistinct("planche").alias("planches")).where("planches >= 3")
-    return seen.join(pages, ["oeuvre", "tome"]).where("planches * 10 >= toutes * 3").drop("toutes")
+    return seen.join(pages, ["oeuvre", "tome"]).where("planches * 20 >= toutes").drop("toutes")
 
 
 def q_box_gaps(s, d):
@@ -166,7 +166,7 @@ _V = "WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DO
 SQL = {
     "box_iou_pairs": _PAIRS + " SELECT a, b, round(i / (sa + sb - i), 6) AS iou FROM p",
     "containment_anti": _PAIRS + ", c AS (SELECT a AS k FROM p WHERE i >= sa * 0.9::DOUBLE UNION SELECT b FROM p WHERE i >= sb * 0.9::DOUBLE) SELECT oeuvre, count(*) AS libres FROM b WHERE bulle_id NOT IN (SELECT k FROM c) GROUP BY 1",
-    "recurring_places": f"WITH b AS (SELECT oeuvre, tome, planche, floor(x0 / 50) AS x0, floor(y0 / 50) AS y0, floor(x1 / 50) AS x1, floor(y1 / 50) AS y1 FROM bulles WHERE {_OK}), n AS (SELECT oeuvre, tome, count(DISTINCT planche) AS toutes FROM b GROUP BY 1, 2), s AS (SELECT oeuvre, tome, x0, y0, x1, y1, count(DISTINCT planche) AS planches FROM b GROUP BY ALL HAVING count(DISTINCT planche) >= 3) SELECT s.* FROM s JOIN n USING (oeuvre, tome) WHERE planches * 10 >= toutes * 3",
+    "recurring_places": f"WITH b AS (SELECT oeuvre, tome, planche, floor(x0 / 200) AS x0, floor(y0 / 200) AS y0, floor(x1 / 200) AS x1, floor(y1 / 200) AS y1 FROM bulles WHERE {_OK}), n AS (SELECT oeuvre, tome, count(DISTINCT planche) AS toutes FROM b GROUP BY 1, 2), s AS (SELECT oeuvre, tome, x0, y0, x1, y1, count(DISTINCT planche) AS planches FROM b GROUP BY ALL HAVING count(DISTINCT planche) >= 3) SELECT s.* FROM s JOIN n USING (oeuvre, tome) WHERE planches * 20 >= toutes",
     "box_gaps": f"SELECT bulle_id, ecart FROM (SELECT bulle_id, CASE WHEN lead(y0) OVER w IS NOT NULL THEN greatest(0, lead(y0) OVER w - y1) ELSE 0 END AS ecart FROM bulles WHERE {_OK} WINDOW w AS (PARTITION BY oeuvre, tome, planche ORDER BY y0, x0, bulle_id))",
     "area_budget": "SELECT bulle_id, CASE WHEN langue_source = 'ja' THEN greatest(12, floor((x1 - x0)::BIGINT * (y1 - y0) / 320)) ELSE least(greatest(12, floor((x1 - x0)::BIGINT * (y1 - y0) / 320)), greatest(12, floor(length(ocr) * 1.3::DOUBLE))) END AS signes FROM bulles WHERE x1 > x0 AND y1 > y0 AND ocr IS NOT NULL AND langue_source IS NOT NULL",
     "cosine_to_centroid": _V + ", m AS (SELECT label, i, avg(x) AS x FROM x GROUP BY 1, 2), c AS (SELECT label, list(x ORDER BY i) AS c, sqrt(sum(x * x)) AS l FROM m GROUP BY 1) SELECT vec_id, label, round(list_inner_product(v, c) / l, 5) AS cosinus FROM u JOIN c USING (label)",
