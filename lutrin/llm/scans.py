@@ -77,31 +77,26 @@ def targets(word: str) -> list[int]:
     h, steps = anagram(word), []
     for i, (read, _, delta) in enumerate(_DELTAS):
         n = word.count(read)
-        steps += [(i, k * delta) for k in {1, min(2, n), n} if n]
+        steps += [(i, k * delta) for k in {*range(1, min(n, 5) + 1), n} if n]
     one = {(h - d) & _MASK for _, d in steps}
     two = {(h - a - b) & _MASK for (i, a), (j, b) in combinations(steps, 2) if i != j} if len(word) > 3 else set()
     return list(one | two)
 
 
-def undone(word: str, true: str, left: int = 2) -> bool:
-    """Do at most ``left`` kinds of confusion, put back, turn ``word`` into ``true``?"""
-    if word == true:
-        return True
-    if not left:
-        return False
-    for read, real, _ in _DELTAS:
-        if read in word and real in true:
-            whole = word.replace(read, real)
-            if whole == true or (left > 1 and undone(whole, true, left - 1)):
+def undone(word: str, true: str, kinds: int = 2) -> bool:
+    """Can glyphs of at most ``kinds`` confusions, wherever they stand, be put back so that ``word`` is ``true``?"""
+
+    def walk(i: int, j: int, used: frozenset) -> bool:
+        if i == len(word) or j == len(true):
+            return i == len(word) and j == len(true)
+        if word[i] == true[j] and walk(i + 1, j + 1, used):
+            return True
+        for n, (read, real, _) in enumerate(_DELTAS):
+            if (n in used or len(used) < kinds) and word.startswith(read, i) and true.startswith(real, j) and walk(i + len(read), j + len(real), used | {n}):
                 return True
-            if word.count(read) > 1:
-                at = word.find(read)
-                while at >= 0:
-                    one = word[:at] + real + word[at + len(read) :]
-                    if one == true or (left > 1 and undone(one, true, left - 1)):
-                        return True
-                    at = word.find(read, at + 1)
-    return False
+        return False
+
+    return walk(0, 0, frozenset())
 
 
 def scan_texts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,7 +34,9 @@ def test_a_confusion_put_back_is_found_by_the_hash():
         if true in w:
             bad = w.replace(true, read)
             assert scans.anagram(w) in scans.targets(bad) and scans.undone(bad, w), (w, bad)
-    assert not scans.undone("captain", "silver")
+    for bad, w in (("tclcscopc", "telescope"), ("ciiidad", "ciudad"), ("viiiage", "village")):
+        assert scans.anagram(w) in scans.targets(bad) and scans.undone(bad, w), bad
+    assert not scans.undone("captain", "silver") and not scans.undone("cat", "cats")
 
 
 def test_folios_and_headers():
