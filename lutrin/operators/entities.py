@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 from lutrin.functions import text as T
 from lutrin.operators.profiling import key_sql
-from lutrin.session import table
+from lutrin.session import spread, table
+
+#: Signs of a source spelling that are joined on; buckets of the broadcast set of such beginnings, which only saves work.
+_GRAM, _BUCKETS = 3, 1 << 20
+_FILLED, _AROUND = r"[^\s\p{Z}]", r"^[\s\p{Z}]+|[\s\p{Z}]+$"
 
 
 def upsert(base: DataFrame, new: DataFrame, key: str, fields: list[str], order: str) -> DataFrame:
@@ -82,13 +86,40 @@ def q_forced_replace(s, d):
 
 
 def q_missing_terms(s, d):
-    """Bubbles whose source holds a glossary spelling (four signs or more) and whose rendering lacks the name."""
+    """Bubbles with a whole katakana run that is a glossary spelling (four signs or more, no middle dot) and whose
+    rendering lacks the name's first word.  A count by spelling; ``lost_terms`` looks for every spelling and form."""
     terms = _people(s, d).where("oeuvre IS NOT NULL AND nom IS NOT NULL AND trim(nom) <> ''").select("oeuvre", "nom", F.explode("termes_source").alias("terme")).where("length(terme) >= 4 AND terme NOT LIKE '%%・%%'".replace("%%", "%")).groupBy("oeuvre", "terme").agg(F.min("nom").alias("nom"))
     words = table(s, d, "bulles").where("langue_source = 'ja' AND ocr IS NOT NULL AND traduction IS NOT NULL AND oeuvre IS NOT NULL").select("bulle_id", "oeuvre", "traduction", F.explode(F.array_distinct(F.regexp_extract_all("ocr", F.lit("([ァ-ヺー]+)"), F.lit(1)))).alias("terme"))
     first = F.regexp_extract("nom", r"^(\p{L}+)", 1)
     return words.join(terms, ["oeuvre", "terme"]).where((first != "") & (F.instr(F.lower("traduction"), F.lower(first)) == 0)).groupBy("oeuvre", "terme").agg(F.count("*").alias("bulles"))
 
 
+def lost_terms(bubbles: DataFrame, entries: DataFrame) -> DataFrame:
+    """``bulle_id, entree_id, terme, nom``: a source spelling of an entry of the work stands anywhere in the bubble's
+    source and no accepted form (name, plural, variants; any case) in its rendering.
+
+    ``terme`` is the first spelling of the entry that the bubble holds.  Spellings meet bubbles by work and first
+    signs (at most ``_GRAM``) as hashes, whole spellings are compared after.  Blank spellings and forms, names under five
+    signs, and bubbles with a blank side count for nothing.
+    """
+    filled = lambda c: F.coalesce(F.filter(c, lambda x: x.rlike(_FILLED)), F.array().cast("array<string>"))
+    bare = lambda c: F.regexp_replace(c, _AROUND, "")
+    known = entries.where("oeuvre IS NOT NULL").select("entree_id", "oeuvre", bare("nom").alias("nom"), filled("termes_source").alias("termes"), F.transform(filled(F.concat(F.array("nom", "pluriel"), F.coalesce("variantes", F.array().cast("array<string>")))), lambda x: F.lower(bare(x))).alias("formes")).where("length(nom) >= 5")
+    known = known.select("entree_id", "oeuvre", "nom", "formes", "termes", F.posexplode("termes").alias("rang", "terme"))
+    known = known.select("entree_id", "oeuvre", "nom", "formes", "terme", F.slice("termes", F.lit(1), F.col("rang")).alias("avant"), F.substring("terme", 1, _GRAM).alias("debut"))
+    rows = bubbles.where(F.col("oeuvre").isNotNull() & F.col("ocr").rlike(_FILLED) & F.col("traduction").rlike(_FILLED)).select("bulle_id", "oeuvre", "ocr", F.lower("traduction").alias("rendu")).withColumn("r", F.xxhash64("bulle_id", "oeuvre", "ocr", "rendu"))
+    grams = [F.regexp_extract_all("ocr", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in range(1, _GRAM + 1)]
+    seen = spread(rows).select("r", "oeuvre", F.explode(F.array_distinct(F.concat(*grams))).alias("debut")).withColumn("seau", F.pmod(F.xxhash64("debut"), F.lit(_BUCKETS)))
+    seen = seen.join(F.broadcast(known.select(F.pmod(F.xxhash64("debut"), F.lit(_BUCKETS)).alias("seau")).distinct()), "seau", "left_semi").select("r", "oeuvre", F.xxhash64("oeuvre", "debut").alias("k")).distinct()
+    near = seen.join(known.withColumn("k", F.xxhash64("oeuvre", "debut")), ["k", "oeuvre"]).drop("k", "debut")
+    hit = rows.join(near, ["r", "oeuvre"]).where((F.instr("ocr", F.col("terme")) > 0) & ~F.exists("avant", lambda t: F.instr(F.col("ocr"), t) > 0) & ~F.exists("formes", lambda f: F.instr(F.col("rendu"), f) > 0))
+    return hit.select("bulle_id", "entree_id", "terme", "nom")
+
+
+def q_lost_terms(s, d):
+    return lost_terms(table(s, d, "bulles"), _people(s, d))
+
+
 def q_gender_evidence(s, d):
     """Masculine and feminine articles before a word in French documents; a gender where they differ by two."""
     rows = table(s, d, "documents").where("text IS NOT NULL AND lower(lang) LIKE 'fr%'").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"((?:le|la|un|une) \p{L}{4,})"), F.lit(1))).alias("x"))
@@ -186,6 +217,7 @@ SQL = {
     "drift_volume": f"WITH w AS (SELECT oeuvre, unnest(regexp_extract_all(translate(traduction, '{_A}', '{_P}'), '[a-z,] ([A-Z][a-z]{{4,}})', 1)) AS mot FROM bulles WHERE langue_cible = 'fr' AND traduction IS NOT NULL AND oeuvre IS NOT NULL), n AS (SELECT oeuvre, mot, count(*) AS n FROM w GROUP BY 1, 2) SELECT a.oeuvre, a.mot AS nom, b.mot AS candidat, a.n AS na, b.n AS nb FROM n a JOIN n b ON a.oeuvre = b.oeuvre AND a.mot <> b.mot AND a.n >= 5 AND a.n >= 3 * b.n AND (left(a.mot, 3) = left(b.mot, 3) OR right(a.mot, 3) = right(b.mot, 3)) AND levenshtein(lower(a.mot), lower(b.mot)) <= CASE WHEN length(a.mot) <= 7 THEN 1 ELSE 2 END AND b.mot NOT IN (a.mot || 's', a.mot || 'x')",
     "forced_replace": r"WITH b AS (SELECT oeuvre, ban, min(nom) AS nom FROM (SELECT oeuvre, nom, unnest(list_distinct(list_concat(coalesce(interdits, []), coalesce(variantes, [])))) AS ban FROM personnages WHERE oeuvre IS NOT NULL AND nom IS NOT NULL AND trim(nom, ' ') <> '') WHERE regexp_matches(ban, '^\p{L}+$') AND ban <> nom GROUP BY 1, 2), w AS (SELECT bulle_id, oeuvre, unnest(list_distinct(regexp_extract_all(traduction, '(\p{L}+)', 1))) AS ban FROM bulles WHERE traduction IS NOT NULL AND oeuvre IS NOT NULL) SELECT oeuvre, ban, nom, count(*) AS bulles FROM w JOIN b USING (oeuvre, ban) GROUP BY ALL",
     "missing_terms": r"WITH t AS (SELECT oeuvre, terme, min(nom) AS nom FROM (SELECT oeuvre, nom, unnest(termes_source) AS terme FROM personnages WHERE oeuvre IS NOT NULL AND nom IS NOT NULL AND trim(nom, ' ') <> '') WHERE length(terme) >= 4 AND terme NOT LIKE '%・%' GROUP BY 1, 2), w AS (SELECT bulle_id, oeuvre, traduction, unnest(list_distinct(regexp_extract_all(ocr, '([ァ-ヺー]+)', 1))) AS terme FROM bulles WHERE langue_source = 'ja' AND ocr IS NOT NULL AND traduction IS NOT NULL AND oeuvre IS NOT NULL) SELECT oeuvre, terme, count(*) AS bulles FROM w JOIN t USING (oeuvre, terme) WHERE regexp_extract(nom, '^(\p{L}+)', 1) <> '' AND instr(lower(traduction), lower(regexp_extract(nom, '^(\p{L}+)', 1))) = 0 GROUP BY 1, 2",
+    "lost_terms": r"WITH e AS (SELECT entree_id, oeuvre, regexp_replace(nom, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS nom, list_filter(termes_source, lambda t: regexp_matches(t, '[^\s\p{Z}]')) AS termes, list_filter(list_concat([nom, pluriel], coalesce(variantes, [])), lambda f: regexp_matches(f, '[^\s\p{Z}]')) AS formes FROM personnages), h AS (SELECT bulle_id, entree_id, list_filter(termes, lambda t: instr(ocr, t) > 0)[1] AS terme, nom, list_filter(formes, lambda f: instr(lower(traduction), lower(regexp_replace(f, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'))) > 0) AS la FROM bulles JOIN e USING (oeuvre) WHERE length(nom) >= 5 AND regexp_matches(ocr, '[^\s\p{Z}]') AND regexp_matches(traduction, '[^\s\p{Z}]')) SELECT bulle_id, entree_id, terme, nom FROM h WHERE terme IS NOT NULL AND len(la) = 0",
     "gender_evidence": r"WITH x AS (SELECT unnest(regexp_extract_all(lower(text), '((?:le|la|un|une) \p{L}{4,})', 1)) AS x FROM documents WHERE text IS NOT NULL AND lower(lang) LIKE 'fr%'), y AS (SELECT split_part(x, ' ', 2) AS mot, count(*) FILTER (split_part(x, ' ', 1) IN ('le', 'un')) AS m, count(*) FILTER (split_part(x, ' ', 1) IN ('la', 'une')) AS f FROM x GROUP BY 1) SELECT mot, m, f, CASE WHEN m - f >= 2 THEN 'm' WHEN f - m >= 2 THEN 'f' END AS genre FROM y WHERE m + f >= 2",
     "mention_context": _L + ", i AS (SELECT doc_id, pos, CASE WHEN regexp_matches(lower(ligne), 'lanterne|horloge|lantern|clock') THEN 1 ELSE 0 END AS ici FROM l), p AS (SELECT doc_id, ici, max(ici) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS pres FROM i) SELECT doc_id, sum(ici) AS mentions, sum(pres) AS lignes FROM p GROUP BY 1 HAVING sum(ici) > 0",
     "volume_diff": "WITH o AS (SELECT o_custkey, o_orderpriority, year(o_orderdate) AS an, o_totalprice FROM orders), a AS (SELECT o_custkey, o_orderpriority, md5(count(*) || '|' || round(sum(o_totalprice), 0)::BIGINT) AS a FROM o WHERE an BETWEEN 1990 AND 1994 GROUP BY 1, 2), b AS (SELECT o_custkey, o_orderpriority, md5(count(*) || '|' || round(sum(o_totalprice), 0)::BIGINT) AS b FROM o WHERE an BETWEEN 1995 AND 2030 GROUP BY 1, 2) SELECT CASE WHEN a IS NULL THEN 'nouveau' WHEN b IS NULL THEN 'absent' WHEN a = b THEN 'identique' ELSE 'modifie' END AS etat, count(*) AS n FROM a FULL JOIN b USING (o_custkey, o_orderpriority) GROUP BY 1",
