@@ -9,8 +9,9 @@ clauses of a line, and windows of two neighbouring lines.  The best span pairs o
 of text are kept, in ``ROUNDS`` rounds.  The pairs found serve as sharper paired documents, from which concepts
 and pairs are found again.
 
-Long units: spans are compared when their places, scaled to the longer side, are in the same or neighbouring
-buckets of ``BUCKET`` lines, so work grows with a unit's length, not its square.
+All spans of a unit that share a concept are compared, however far apart their places are (a part may be left out
+or stand elsewhere), so work grows with the square of a unit's length.  The spans of a long unit are dealt out
+in parts of ``PART``, so no task holds all of a concept of such a unit.
 
 Defined results: lines with a null unit, language, key or text, blank lines and ornaments are in no pair; units
 with one language give none; of units with more than two languages every two are compared.  Equal scores
@@ -30,7 +31,7 @@ from lutrin.llm import lookalikes
 from lutrin.session import materialise, spread, table
 
 BLOCK = 6
-BUCKET = 64
+PART = 256
 #: Words on more than this share of a language's lines say nothing; those on less tell blocks apart.
 COMMON, TELLING = 0.2, 0.1
 ROUNDS = 3
@@ -134,13 +135,14 @@ def span_pairs(spans: DataFrame, concepts: DataFrame, words: DataFrame, least: f
     bags = bags.join(words.select("mot", "idf"), "mot")
     sides = concepts.select("lp", F.lit(0).alias("cote"), F.col("x").alias("mot"), F.xxhash64("x", "y").alias("c"), "phi").unionByName(concepts.select("lp", F.lit(1).alias("cote"), F.col("y").alias("mot"), F.xxhash64("x", "y").alias("c"), "phi"))
     v = bags.join(sides, ["lp", "cote", "mot"]).select("g", "cote", "span", "place", "c", (F.col("idf") * F.col("n") * F.sqrt("phi")).cast("float").alias("v"))
-    v = materialise(v.groupBy("g", "cote", "span", "place").agg(F.collect_list(F.struct("c", "v")).alias("vec")).select("g", "cote", "span", "place", "vec", F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x["v"] * x["v"])).alias("norm"), F.floor(F.col("place") / BUCKET).cast("int").alias("seau")))
-    last = v.where("cote = 0").groupBy("g").agg(F.max("seau").alias("dernier"))
-    key = F.xxhash64("g", "seau", "x.c").alias("j")
+    v = materialise(v.groupBy("g", "cote", "span", "place").agg(F.collect_list(F.struct("c", "v")).alias("vec")).select("g", "cote", "span", "place", "vec", F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x["v"] * x["v"])).alias("norm")))
+    parts = v.where("cote = 0").groupBy("g").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    key = F.xxhash64("g", "part", "x.c").alias("j")
     unit = (F.col("x.v") / F.col("norm")).cast("float").alias("v")
-    a = v.where("cote = 0").select("span", "seau", "g", "norm", F.explode("vec").alias("x")).select(key, F.col("span").alias("sa"), unit)
-    b = v.where("cote = 1").join(last, "g").withColumn("seau", F.explode(F.sequence(F.greatest(F.lit(0), F.least("dernier", F.col("seau") - 1)), F.least("dernier", F.col("seau") + 1))))
-    b = b.select("span", "seau", "g", "norm", F.explode("vec").alias("x")).select(key, F.col("span").alias("sb"), unit)
+    a = v.where("cote = 0").join(parts, "g").withColumn("part", F.pmod("span", "parts").cast("int"))
+    a = a.select("span", "part", "g", "norm", F.explode("vec").alias("x")).select(key, F.col("span").alias("sa"), unit)
+    b = v.where("cote = 1").join(parts, "g").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    b = b.select("span", "part", "g", "norm", F.explode("vec").alias("x")).select(key, F.col("span").alias("sb"), unit)
     dots = a.alias("a").join(b.alias("b"), "j").groupBy("sa", "sb").agg(F.sum(F.col("a.v") * F.col("b.v")).alias("cos")).where(F.col("cos") >= least)
     # Figures are kept by every rendering: spans that both hold some must share one.
     figures = words.where("chiffre").select("mot")

@@ -53,6 +53,26 @@ def test_recall_and_precision_on_known_pairs(spark):
     assert len(got & true) >= 0.95 * len(got), len(got & true) / len(got)
 
 
+def test_pairs_far_apart_in_a_long_unit(spark):
+    """A third of a long unit stands at its other end, and a stretch of it is left out on one side."""
+    rows, _ = _units(60, 5)
+    rng, pairs = random.Random(8), {}
+    while len(pairs) < 700:
+        en, ja = _sentence(rng)
+        if any(c.isdigit() for c in en):
+            pairs.setdefault(en, ja)
+    pairs, key, ids = list(pairs.items()), len(rows), {}
+    order = [*range(230, 330), *range(480, 700), *range(230)]
+    for side, of in (("en", range(700)), ("ja", order)):
+        for rank, i in enumerate(of):
+            rows.append((key, "long", side, rank, pairs[i][side == "ja"], "x"))
+            ids[side, i] = key
+            key += 1
+    got = {(r.passage_a, r.passage_b) for r in A.aligned_lines(spark.createDataFrame(rows, SCHEMA)).collect()}
+    true = {(ids["en", i], ids["ja", i]) for i in order}
+    assert len(got & true) >= 0.9 * len(true), len(got & true) / len(true)
+
+
 def test_empty_table(spark):
     assert A.aligned_lines(spark.createDataFrame([], SCHEMA)).count() == 0
 
