@@ -296,9 +296,20 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.unionByName(b)
 
 
+def value_forms(bubbles: DataFrame, entries: DataFrame) -> DataFrame:
+    """``champ, cle, rang, forme``: every value in its consistent form; null stays null.  ``rang`` is the place of a
+    term in its entry's list, null for bubbles.  Each field has the words of its own plain values as vocabulary."""
+    rows = entries.withColumn("cle", F.concat_ws("-", "entree_id", "rang"))
+
+    def formed(values: DataFrame, key: str) -> DataFrame:
+        odd, _ = consistent_forms(values, key, "texte", [key])
+        return values.join(odd.select(key, F.col("text").alias("texte"), "form").distinct(), [key, "texte"], "left")
+
+    a = formed(bubbles, "bulle_id").select(F.lit("bulles.ocr").alias("champ"), F.col("bulle_id").alias("cle"), F.lit(None).cast("int").alias("rang"), F.coalesce("form", "texte").alias("forme"))
+    b = formed(rows, "cle").select(F.lit("personnages.termes_source").alias("champ"), F.col("entree_id").alias("cle"), "rang", F.coalesce("form", "texte").alias("forme"))
+    return a.unionByName(b)
+
+
 def p6_formes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every ``bulles.ocr`` in its consistent form; null stays null."""
-    bubbles, _ = _values(spark, sf_dir)
-    odd, _ = consistent_forms(bubbles, "bulle_id", "texte", ["bulle_id"])
-    found = odd.select("bulle_id", F.col("text").alias("texte"), "form").distinct()
-    return bubbles.join(found, ["bulle_id", "texte"], "left").select(F.col("bulle_id").alias("cle"), F.coalesce("form", "texte").alias("forme"))
+    """Every value of ``bulles.ocr`` and of ``personnages.termes_source`` in its consistent form."""
+    return value_forms(*_values(spark, sf_dir))

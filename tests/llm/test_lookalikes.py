@@ -60,3 +60,11 @@ def test_automaton_charges_other_edits():
     assert {w for w, _ in trie.reach("vаlley")} == {"valley"}
     assert {w for w, _ in trie.reach("vlley")} == {"valley", "volley"}
     assert L.LookTrie([("valley", 3)]).reach("vlley") == []
+
+
+def test_forms_of_both_fields(spark, tmp_path):
+    spark.createDataFrame([(1, "o", "v", "カルーヤ", ""), (2, "o", "v", "力ルーヤ", ""), (3, "o", "v", None, "")], ROWS).write.parquet(f"{tmp_path}/bulles.parquet")
+    spark.createDataFrame([(7, "o", ["エリ", "工リ", None]), (8, "o", None), (9, None, ["ﾏﾘ"])], "entree_id bigint, oeuvre string, termes_source array<string>").write.parquet(f"{tmp_path}/personnages.parquet")
+    got = {(r.champ, r.cle, r.rang, r.forme) for r in L.p6_formes(spark, str(tmp_path)).collect()}
+    terms = {(7, 0, "エリ"), (7, 1, "エリ"), (7, 2, None), (9, 0, "マリ")}
+    assert got == {("bulles.ocr", 1, None, "カルーヤ"), ("bulles.ocr", 2, None, "カルーヤ"), ("bulles.ocr", 3, None, None)} | {("personnages.termes_source", *t) for t in terms}
