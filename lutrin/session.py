@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 _SMALL_ROWS = 10_000
 
@@ -78,3 +80,43 @@ def small_rows(df: DataFrame, bound: int = _SMALL_ROWS) -> list:
     if len(rows) > bound:
         raise ValueError(f"parameter table has more than {bound} rows")
     return rows
+
+
+@contextlib.contextmanager
+def settings(spark: SparkSession, values: dict[str, str]):
+    """SQL settings that hold while a plan is built and run, and are put back after."""
+    old = {k: spark.conf.get(k, None) for k in values}
+    for k, x in values.items():
+        spark.conf.set(k, x)
+    try:
+        yield
+    finally:
+        for k, x in old.items():
+            spark.conf.unset(k) if x is None else spark.conf.set(k, x)
+
+
+def one_per_key(df: DataFrame, key: str) -> DataFrame:
+    """One row per ``key``: of rows that repeat it with other values, the least one (column by column, nulls first)."""
+    rest = [c for c in df.columns if c != key]
+    return df.groupBy(key).agg(F.min(F.struct(*rest)).alias("_row")).select(key, *(F.col(f"_row.{c}").alias(c) for c in rest)).select(*df.columns)
+
+
+def running(df: DataFrame, group: list[str], order: list, value, name: str) -> DataFrame:
+    """``df`` with ``name``: the running sum of ``value`` within ``group``, in ``order``, this row included.
+
+    No group is gathered in one task: rows are range-partitioned by group and order, summed inside their partition, and
+    every part of a group is shifted by the sum of the parts before it (at most one row per group and partition).
+    """
+    spark = df.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    keys = [F.col(c) for c in group]
+    placed = df.repartitionByRange(parts, *keys, *order).sortWithinPartitions(*keys, *order).select("*", value.alias("_v"), F.monotonically_increasing_id().alias("_m"))
+    placed = materialise(placed).withColumn("_p", F.shiftright("_m", 33))
+    before = placed.groupBy(*group, "_p").agg(F.sum("_v").alias("_s"))
+    before = before.withColumn("_o", F.coalesce(F.sum("_s").over(Window.partitionBy(*group).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_s")
+    inside = placed.withColumn("_i", F.sum("_v").over(Window.partitionBy(*group, "_p").orderBy("_m").rowsBetween(Window.unboundedPreceding, 0)))
+    a, b = inside.alias("a"), before.alias("b")
+    same = F.col("a._p") == F.col("b._p")
+    for c in group:
+        same = same & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    return a.join(b, same).select(*(F.col(f"a.{c}") for c in df.columns), (F.col("a._i") + F.col("b._o")).alias(name))
