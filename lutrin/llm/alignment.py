@@ -6,12 +6,13 @@ pair of words is a concept both languages share; words written alike on both sid
 text is the vector of its words' similarities to the concepts, weighted by rarity; spans of one unit are
 compared by sparse cosine, a join on the concept in SQL.  Spans are whole lines, the sentences and joined
 clauses of a line, and windows of two neighbouring lines.  The best span pairs of all that compete for a piece
-of text are kept, in ``ROUNDS`` rounds.  The pairs found serve as sharper paired documents, from which concepts
-and pairs are found again.
+of text are kept, round after round until none is left.  The pairs found serve as sharper paired documents, from
+which concepts and pairs are found again.
 
 All spans of a unit that share a concept are compared, however far apart their places are (a part may be left out
-or stand elsewhere), so work grows with the square of a unit's length.  The spans of a long unit are dealt out
-in parts of ``PART``, so no task holds all of a concept of such a unit.
+or stand elsewhere), so work grows with the square of a unit's length.  Both sides of a long unit are dealt out in
+parts of about ``PART`` spans and every two parts are one block; rows are placed by block, so the dot products are
+summed where they arise and no pair is shuffled before it has passed ``LEAST``.
 
 Defined results: lines with a null unit, language, key or text, blank lines and ornaments are in no pair; units
 with one language give none; of units with more than two languages every two are compared.  Equal scores
@@ -28,13 +29,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lutrin.llm import lookalikes
-from lutrin.session import materialise, spread, table
+from lutrin.session import materialise, one_per_key, running, settings, spread, table
 
 BLOCK = 6
-PART = 256
+PART = 512
 #: Words on more than this share of a language's lines say nothing; those on less tell blocks apart.
 COMMON, TELLING = 0.2, 0.1
-ROUNDS = 3
 #: Least cosine of a kept pair, in the first and in the last pass.
 LEAST = (0.4, 0.42)
 _KANA = "[" + chr(0x30A1) + "-" + chr(0x30FA) + chr(0x30FC) + "]+"
@@ -83,14 +83,14 @@ def placed_lines(passages: DataFrame) -> DataFrame:
     first of them; ``place`` is scaled to the longer side.
     """
     rows = passages.where("unite IS NOT NULL AND langue IS NOT NULL AND passage_id IS NOT NULL AND texte IS NOT NULL")
-    rows = rows.select(F.col("passage_id").cast("bigint").alias("id"), "unite", F.lower(F.substring(F.trim("langue"), 1, 2)).alias("langue"), F.coalesce("rang", F.lit(0)).alias("rang"), "texte").dropDuplicates(["id"]).where(F.col("texte").rlike(r"[\p{L}\p{N}]"))
+    rows = rows.select(F.col("passage_id").cast("bigint").alias("id"), "unite", F.lower(F.substring(F.trim("langue"), 1, 2)).alias("langue"), F.coalesce("rang", F.lit(0)).alias("rang"), "texte")
+    rows = one_per_key(rows, "id").where(F.col("texte").rlike(r"[\p{L}\p{N}]"))
     sizes = rows.groupBy("unite", "langue").agg(F.count("*").alias("n"))
     a, b = sizes.alias("a"), sizes.alias("b")
     both = a.join(b, (F.col("a.unite") == F.col("b.unite")) & (F.col("a.langue") < F.col("b.langue")))
     both = both.select(F.col("a.unite").alias("unite"), F.xxhash64("a.unite", "a.langue", "b.langue").alias("g"), F.xxhash64("a.langue", "b.langue").alias("lp"), F.greatest("a.n", "b.n").alias("most"), F.explode(F.array(F.struct(F.col("a.langue").alias("l"), F.lit(0).alias("cote"), F.col("a.n").alias("n")), F.struct(F.col("b.langue").alias("l"), F.lit(1).alias("cote"), F.col("b.n").alias("n")))).alias("x"))
     both = both.select("unite", F.col("x.l").alias("langue"), "g", "lp", F.col("x.cote").alias("cote"), "most", F.col("x.n").alias("n"))
-    w = Window.partitionBy("unite", "langue").orderBy("rang", "id")
-    rows = rows.withColumn("ordre", F.row_number().over(w) - 1)
+    rows = running(rows, ["unite", "langue"], [F.col("rang"), F.col("id")], F.lit(1), "ordre").withColumn("ordre", (F.col("ordre") - 1).cast("int"))
     return rows.join(both, ["unite", "langue"]).select("g", "lp", "cote", "langue", "id", "ordre", ((F.col("ordre") + 0.5) * F.col("most") / F.col("n")).cast("float").alias("place"), "texte")
 
 
@@ -102,7 +102,10 @@ def concepts_from(docs_a: DataFrame, docs_b: DataFrame, least: float, keep: int
     total = docs_a.groupBy("lp").agg(F.countDistinct("doc").alias("n"))
     x = docs_a.groupBy("lp", "x").agg(F.count("*").alias("nx"))
     y = docs_b.groupBy("lp", "y").agg(F.count("*").alias("ny"))
-    both = docs_a.join(docs_b.drop("lp"), "doc").groupBy("lp", "x", "y").agg(F.count("*").cast("int").alias("c")).where("c >= 2")
+    # a pair of words counts from two documents on, so words of one document are left out before the join
+    seen_a = docs_a.join(x.where("nx >= 2").select("lp", "x"), ["lp", "x"], "left_semi")
+    seen_b = docs_b.join(y.where("ny >= 2").select("lp", "y"), ["lp", "y"], "left_semi")
+    both = seen_a.join(seen_b.drop("lp"), "doc").groupBy("lp", "x", "y").agg(F.count("*").cast("int").alias("c")).where("c >= 2")
     joined = both.join(x, ["lp", "x"]).join(y, ["lp", "y"]).join(F.broadcast(total), "lp")
     expected = F.col("nx") * F.col("ny") / F.col("n")
     phi = joined.withColumn("phi", (F.col("c") - expected) / F.sqrt(F.col("nx").cast("double") * F.col("ny"))).where(F.col("phi") >= least).select("lp", "x", "y", "phi")
@@ -120,11 +123,11 @@ def _spans(atoms: DataFrame) -> DataFrame:
     here = [F.col(c) for c in ("g", "lp", "cote", "id", "ordre", "place")]
     lines = atoms.groupBy(*here).agg(F.sort_array(F.collect_list(F.struct("atome", "mots"))).alias("a"))
     lines = lines.withColumn("pieces", F.transform("a", lambda x: F.xxhash64("g", "id", x["atome"]))).withColumn("n", F.size("a")).withColumn("mots", F.flatten(F.transform("a", lambda x: x["mots"])))
-    w = Window.partitionBy("g", "cote").orderBy("ordre")
-    lines = lines.withColumn("suite", F.lead(F.struct("mots", "pieces", "ordre", "n")).over(w))
     side = ["g", "lp", "cote"]
     whole = lines.select(*side, F.xxhash64("g", "id").alias("span"), F.lit("l").alias("sorte"), "place", "pieces", "mots")
-    two = lines.where("suite.ordre = ordre + 1 AND n = 1 AND suite.n = 1").select(*side, F.xxhash64("g", "id", F.lit("w")).alias("span"), F.lit("w").alias("sorte"), (F.col("place") + 0.5).cast("float").alias("place"), F.concat("pieces", "suite.pieces").alias("pieces"), F.concat("mots", "suite.mots").alias("mots"))
+    one = materialise(lines.where("n = 1").select(*side, "id", "ordre", "place", "pieces", "mots"))
+    after = one.select("g", "cote", (F.col("ordre") - 1).alias("ordre"), F.struct("mots", "pieces").alias("suite"))
+    two = one.join(after, ["g", "cote", "ordre"]).select(*side, F.xxhash64("g", "id", F.lit("w")).alias("span"), F.lit("w").alias("sorte"), (F.col("place") + 0.5).cast("float").alias("place"), F.concat("pieces", "suite.pieces").alias("pieces"), F.concat("mots", "suite.mots").alias("mots"))
     many = lines.where("n > 1").select(*side, "id", "place", "pieces", F.posexplode("a").alias("k", "x")).select(*side, F.xxhash64("g", "id", F.lit("a"), "k").alias("span"), F.lit("a").alias("sorte"), "place", F.slice("pieces", F.col("k") + 1, 1).alias("pieces"), F.col("x.mots").alias("mots"))
     return whole.unionByName(two).unionByName(many)
 
@@ -136,14 +139,20 @@ def span_pairs(spans: DataFrame, concepts: DataFrame, words: DataFrame, least: f
     sides = concepts.select("lp", F.lit(0).alias("cote"), F.col("x").alias("mot"), F.xxhash64("x", "y").alias("c"), "phi").unionByName(concepts.select("lp", F.lit(1).alias("cote"), F.col("y").alias("mot"), F.xxhash64("x", "y").alias("c"), "phi"))
     v = bags.join(sides, ["lp", "cote", "mot"]).select("g", "cote", "span", "place", "c", (F.col("idf") * F.col("n") * F.sqrt("phi")).cast("float").alias("v"))
     v = materialise(v.groupBy("g", "cote", "span", "place").agg(F.collect_list(F.struct("c", "v")).alias("vec")).select("g", "cote", "span", "place", "vec", F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x["v"] * x["v"])).alias("norm")))
-    parts = v.where("cote = 0").groupBy("g").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
-    key = F.xxhash64("g", "part", "x.c").alias("j")
+    of = lambda cote: F.ceil(F.count_if(F.col("cote") == cote) / PART).cast("int")
+    parts = v.groupBy("g").agg(of(0).alias("na"), of(1).alias("nb")).where("na > 0 AND nb > 0")
     unit = (F.col("x.v") / F.col("norm")).cast("float").alias("v")
-    a = v.where("cote = 0").join(parts, "g").withColumn("part", F.pmod("span", "parts").cast("int"))
-    a = a.select("span", "part", "g", "norm", F.explode("vec").alias("x")).select(key, F.col("span").alias("sa"), unit)
-    b = v.where("cote = 1").join(parts, "g").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    b = b.select("span", "part", "g", "norm", F.explode("vec").alias("x")).select(key, F.col("span").alias("sb"), unit)
-    dots = a.alias("a").join(b.alias("b"), "j").groupBy("sa", "sb").agg(F.sum(F.col("a.v") * F.col("b.v")).alias("cos")).where(F.col("cos") >= least)
+
+    def dealt(cote: int, own: str, others: str, name: str) -> DataFrame:
+        mine, other = F.pmod("span", own).cast("int"), F.explode(F.sequence(F.lit(0), F.col(others) - 1))
+        rows = v.where(f"cote = {cote}").join(parts, "g").select("g", "span", "norm", "vec", mine.alias("mine"), other.alias("other"))
+        block = F.xxhash64("g", "mine", "other") if cote == 0 else F.xxhash64("g", "other", "mine")
+        return rows.select(block.alias("bloc"), F.col("span").alias(name), "norm", F.explode("vec").alias("x")).select("bloc", name, F.col("x.c").alias("c"), unit).repartition("bloc")
+
+    # Placed by block alone, the join and the sums need no other exchange.
+    with settings(v.sparkSession, {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        dots = dealt(0, "na", "nb", "sa").alias("a").join(dealt(1, "nb", "na", "sb").alias("b"), ["bloc", "c"])
+        dots = materialise(dots.groupBy("bloc", "sa", "sb").agg(F.sum(F.col("a.v") * F.col("b.v")).alias("cos")).where(F.col("cos") >= least).select("sa", "sb", "cos"))
     # Figures are kept by every rendering: spans that both hold some must share one.
     figures = words.where("chiffre").select("mot")
     with_f = spans.select("span", F.explode("mots").alias("mot")).join(figures, "mot").groupBy("span").agg(F.collect_set("mot").alias("f"))
@@ -155,20 +164,27 @@ def span_pairs(spans: DataFrame, concepts: DataFrame, words: DataFrame, least: f
     return full.select(F.xxhash64("sa", "sb").alias("p"), (F.col("cos") + near + joined).alias("score"), F.concat("piecesa", "piecesb").alias("pieces"))
 
 
-def best_spans(pairs: DataFrame, rounds: int) -> DataFrame:
-    """``p, score, pieces``: the pairs that win every piece of text they cover, round after round."""
-    left, won = materialise(pairs), None
-    for turn in range(rounds):
+def best_spans(pairs: DataFrame, rounds: int | None = None) -> DataFrame:
+    """``p, score, pieces``: the pairs that win every piece of text they cover, round after round.
+
+    A round takes the best of the pairs left, so there is always a next winner until none is left; ``rounds`` stops
+    earlier, which the first pass does (it wants sure pairs alone).
+    """
+    left, won, turn = materialise(pairs), None, 0
+    while True:
+        turn += 1
         each = left.select("p", "score", F.explode("pieces").alias("piece"))
         top = each.groupBy("piece").agg(F.max(F.struct("score", "p")).alias("best"))
         kept = each.join(top, "piece").withColumn("ok", F.col("best.p") == F.col("p"))
         winners = kept.groupBy("p").agg(F.min("ok").alias("ok")).where("ok").select("p")
         now = materialise(left.join(winners, "p", "left_semi"))
         won = now if won is None else won.unionByName(now)
-        if turn + 1 < rounds:
-            used = now.select(F.explode("pieces").alias("piece")).distinct()
-            left = materialise(left.join(each.join(used, "piece", "left_semi").select("p").distinct(), "p", "left_anti"))
-    return won
+        if turn == rounds:
+            return won
+        used = now.select(F.explode("pieces").alias("piece")).distinct()
+        left = materialise(left.join(each.join(used, "piece", "left_semi").select("p").distinct(), "p", "left_anti"))
+        if left.isEmpty():
+            return won
 
 
 def lines_of(won: DataFrame, pieces: DataFrame) -> DataFrame:
@@ -214,7 +230,7 @@ def aligned_lines(passages: DataFrame) -> DataFrame:
     one = docs.join(telling.where("cote = 0").select(F.col("id").alias("a"), "lp", F.col("mot").alias("x")), "a").select("lp", "doc", "x").distinct()
     two = docs.join(telling.where("cote = 1").select(F.col("id").alias("b"), "lp", F.col("mot").alias("y")), "b").select("lp", "doc", "y").distinct()
     concepts = with_alike(concepts_from(one, two, 0.15))
-    final = lines_of(best_spans(span_pairs(spans, concepts, words, LEAST[1]), ROUNDS), pieces)
+    final = lines_of(best_spans(span_pairs(spans, concepts, words, LEAST[1])), pieces)
     return final.select(F.least("a", "b").alias("passage_a"), F.greatest("a", "b").alias("passage_b"), "score").groupBy("passage_a", "passage_b").agg(F.max("score").alias("score"))
 
 
