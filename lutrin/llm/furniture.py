@@ -55,7 +55,8 @@ def distance(a: str, b: str, most: int) -> int:
 def is_header(line: str, title: str | None) -> bool:
     """Running header: the work's title or a chapter, perhaps misread, with or without a page number."""
     line = bare(line).strip()
-    if not 3 <= len(line) <= 90 or line[0] in "#<":
+    # title, a fifth of it misread, and the page number beside it are the longest a header can be
+    if len(line) < 3 or line[0] in "#<" or (len(line) > 90 and len(" ".join(line.split())) > len(title or "") * 6 / 5 + 60):
         return False
     if "第" in line and _JA_CHAPTER.match(line):
         return True

@@ -1,12 +1,13 @@
 """Problem 6: one consistent form for text that looks the same but holds different characters.
 
-Method: the vocabulary is every token of values written in plain characters, with its frequency.  Each odd
-token of the other values traverses a trie of that vocabulary with a weighted edit automaton, in which
-look-alike units cost nothing and ignorable characters cost nothing to skip (any other edit costs 1, over
-the budget of 0).  Of the spellings reached the most frequent is canonical, ties by code point; tokens that
-reach none, and the signs between tokens, are normalised by table.  Trie and tokens are sharded by their
-look (the units' classes), which every zero-cost path keeps, so a shard sees all spellings of its looks and
-no vocabulary is broadcast.
+Method: the vocabulary is every token of the values, with its frequency: of the values written in plain characters
+(those spellings are plain) and of the others.  Each odd token traverses a trie of the vocabulary with a weighted edit
+automaton, in which look-alike units cost nothing and ignorable characters cost nothing to skip (any other edit costs
+1, over the budget of 0).  Of the spellings reached the plain one is canonical, else the most frequent one, ties by code
+point.  The walk alone brings look-alike letters together; the table (compatibility forms, kinds of blank and of
+apostrophe) normalises what reaches no spelling and the signs between tokens.  Trie and tokens are dealt out by their
+look (the units' classes), which every zero-cost path keeps, so a shard sees all spellings of its looks; there are as
+many shards as the counted vocabulary needs, and no vocabulary is broadcast.
 
 Tokens are runs of one kind of letter, and the kind is that of the look, so values that look the same
 fall into the same tokens (signs shared by both kana belong to their neighbours).  Of all tokens with one look at most one is plain: a kanji that looks like a kana
@@ -35,6 +36,9 @@ from pyspark.sql import functions as F
 
 from lutrin.session import materialise, spread, table
 
+#: Spellings per trie.
+SHARD_TOKENS = 20_000
+
 #: Characters and the plain ones they look like, Cyrillic, Greek and kanji in turn.
 _LIKE = dict(
     zip("аеёіорсухѕјһԁӏкԛѡАВЕЁІКМНОРСТУХЅЈԌ", "aeëiopcyxsjhdlkqwABEËIKMHOPCTYXSJG")
@@ -89,8 +93,8 @@ def look(text: str) -> str:
 
 
 def by_table(text: str) -> str:
-    """Plain form by table alone: the look itself."""
-    return look(text)
+    """Compatibility parts put together, plain signs, no ignorables; letters of other scripts stay what they are."""
+    return unicodedata.normalize("NFC", "".join(units(text)))
 
 
 class LookTrie:
@@ -168,16 +172,17 @@ def _ending(form: str) -> str:
 
 
 def _shard(vocabulary: pd.DataFrame, tokens: pd.DataFrame) -> pd.DataFrame:
-    trie = LookTrie(list(zip(vocabulary["token"], vocabulary["n"])))
+    plain = set(vocabulary["token"])
+    trie = LookTrie([*zip(vocabulary["token"], vocabulary["n"]), *((t, n) for t, n in zip(tokens["token"], tokens["n"]) if t not in plain)])
     out = []
     for t in tokens["token"]:
         found = trie.reach(t)
-        out.append(min(found, key=lambda x: (-x[1], x[0]))[0] if found else by_table(t))
+        out.append(min(found, key=lambda x: (x[0] not in plain, -x[1], x[0]))[0] if found else by_table(t))
     return pd.DataFrame({"token": tokens["token"], "form": out})
 
 
-def _cut(text: str) -> tuple[list[str], list[int], list[str], list[str]]:
-    """Segments of an odd value; places, spellings and looks of its odd tokens."""
+def _cut(text: str, seen: Counter) -> tuple[list[str], list[int], list[str], list[str]]:
+    """Segments of an odd value; places, spellings and looks of its odd tokens.  Its plain ones count as ``seen``."""
     segments, at, tokens, looks = [], [], [], []
     done, text = 0, _by_neighbours(text)
     for m in _TOKEN.finditer(text):
@@ -185,12 +190,13 @@ def _cut(text: str) -> tuple[list[str], list[int], list[str], list[str]]:
             segments.append(by_table(text[done : m.start()]))
         word, done = m.group(), m.end()
         if _is_plain(word):
+            seen[word] += 1
             segments.append(word)
         else:
             at.append(len(segments))
             tokens.append(word)
             looks.append(look(word))
-            segments.append(looks[-1])
+            segments.append(by_table(word))
     if done < len(text):
         segments.append(by_table(text[done:]))
     return segments, at, tokens, looks
@@ -208,7 +214,7 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in values:
             if odd_in(t):
                 texts.append(t)
-                for c, x in zip(cols, _cut(t)):
+                for c, x in zip(cols, _cut(t, seen)):
                     c.append(x)
             else:
                 seen.update(words(t))
@@ -234,8 +240,6 @@ def consistent_forms(rows: DataFrame, key: str, text: str, keep: list[str] = (),
     key or value is null are in neither.  ``keep`` must not hold the names k, text, form, segments, at, tokens
     or looks.
     """
-    spark = rows.sparkSession
-    shards = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
     value = F.col(text).cast("string")
     rows = rows.where(F.col(key).isNotNull() & value.isNotNull()).select(F.concat_ws("#", F.col(key).cast("string"), F.xxhash64(value).cast("string")).alias("k"), *keep, value.alias("text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
@@ -249,12 +253,13 @@ def consistent_forms(rows: DataFrame, key: str, text: str, keep: list[str] = (),
         .where(~F.col("token").rlike(f"^[{_ALIKE_KANA}]$"))
         .groupBy("token").agg(F.sum("n").alias("n"))
         .withColumn("look", F.translate("token", _AMBIGUOUS, _ALIKE_KANA))
-        .join(tokens.select("look").distinct(), "look", "left_semi")
     )
+    tokens, vocabulary = materialise(tokens), materialise(vocabulary)
+    shards = shards or max(8, -(-(tokens.count() + vocabulary.count()) // SHARD_TOKENS))
     shard = F.pmod(F.xxhash64("look"), F.lit(shards)).cast("int").alias("shard")
     forms = (
         vocabulary.select(shard, "token", "n").groupBy("shard")
-        .cogroup(tokens.select(shard, "token").groupBy("shard"))
+        .cogroup(tokens.select(shard, "token", "n").groupBy("shard"))
         .applyInPandas(_shard, "token string, form string")
     )
     words = found.join(forms, "token").groupBy("k").agg(F.map_from_entries(F.collect_set(F.struct("at", "form"))).alias("forms"))

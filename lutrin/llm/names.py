@@ -1,17 +1,19 @@
 """Problem 2: link the entries of one work that stand for the same character.
 
-Method: a symmetric-delete neighbourhood index over the tokens of names (and of source spellings) finds the
-candidates within one edit; a candidate pair's tokens are aligned by optimal assignment, in which a token may
-be misspelt, reduced to its initial, abbreviated, or a nickname, and titles count for nothing.  Source
+Method: a symmetric-delete neighbourhood index over the distinct tokens of a work's names (and of its source
+spellings) finds those within one edit, from seven letters on within two; entries that hold equal or neighbouring
+tokens are candidates.  A candidate pair's tokens, however many, are aligned by optimal assignment, in which a token
+may be misspelt, reduced to its initial, abbreviated, or a nickname, and titles count for nothing.  Source
 spellings are compared in their consistent form (problem 6).  Sure pairs form cores (connected components by
 label propagation); an entry with no sure pair joins the one core it fits best,
 if nothing in the core rules it out and no other core fits as well.
 
+The entries of a frequent token are dealt out in parts of ``PART``, and every two parts meet in a group of their own.
 Entries that say the same are one representative; pairs are expanded at the end.  A mark of generation in the
 name or the source tells namesakes apart, different full source spellings tell close names apart.
 
 Defined results: entries with a null ``oeuvre`` or key are in no pair; an entry with neither name, variant
-nor source spelling is in no pair.  Null lists are empty lists.  Repeated keys count once.
+nor source spelling is in no pair.  Null lists are empty lists.  Of rows that repeat a key the least counts.
 """
 
 from __future__ import annotations
@@ -28,9 +30,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lutrin.llm import lookalikes
-from lutrin.session import materialise, spread, table
+from lutrin.session import materialise, one_per_key, spread, table
 
 SURE, LIKELY, MARGIN = 0.9, 0.55, 0.04
+PART = 256
 #: Words before or after a name that are not part of it.
 _TITLES = frozenset(
     "capitaine capt captain cap capitan dame maitre me sergent sgt sergeant sargento docteur dr doctor dra madame mme mrs ms miss monsieur mr sir lord lady prince princesse princess roi reine king queen comte comtesse count general gen colonel col lieutenant lt teniente professeur prof professor pr frere soeur pere mere oncle tante baron baronne duc duchesse commandant cdt commander inspecteur señor senor señora senora sr sra don doña dona master mister maestro maestra".split()
@@ -125,31 +128,43 @@ def kana_sound(term: str) -> str:
 
 
 def deletes(token: str) -> set[str]:
-    """The token and what is left after losing any one character."""
-    return {token} | {token[:i] + token[i + 1 :] for i in range(len(token))} if len(token) > 3 else {token}
+    """The token and what is left after losing any one character, of seven and more any two."""
+    out = {token}
+    for _ in range(0 if len(token) < 4 else 1 if len(token) < 7 else 2):
+        out |= {t[:i] + t[i + 1 :] for t in out for i in range(len(t))}
+    return out
 
 
-def keys_of(e: dict) -> set[str]:
-    """Index keys of an entry: neighbourhoods of its tokens and source spellings, nickname stems."""
-    keys: set[str] = set()
+def anchors_of(e: dict) -> set[str]:
+    """What an entry is found by: tokens (``t``), names of one token (``m``), source spellings (``s``, whole ``w``)."""
+    out: set[str] = set()
     for tokens, _ in e["f"]:
-        for t in tokens:
-            if len(t) > 2:
-                keys |= {"t" + d for d in deletes(t)}
-            if len(t) > 3:
-                keys.add("p" + sound(t))
-        if len(tokens) == 1:
-            keys |= {"n" + tokens[0][:k] for k in (2, 3, 4) if len(tokens[0]) > k and _NICK.fullmatch(tokens[0][k:])}
+        out |= {"t" + t for t in tokens if len(t) > 2}
+        if len(tokens) == 1 and len(tokens[0]) > 2:
+            out.add("m" + tokens[0])
     for parts in e["s"]:
-        keys |= {"s" + d for d in deletes("".join(parts))} | {"s" + p for p in parts} | {"q" + kana_sound("".join(parts))}
-    for p in e["p"]:
-        keys |= {"s" + d for d in deletes(p)}
-    return keys
+        out |= {"w" + "".join(parts)} | {"s" + p for p in parts}
+    return out | {"w" + p for p in e["p"]}
 
 
-def stems_of(e: dict) -> set[str]:
-    """Stems of which an entry's names could be the long form."""
-    return {"n" + t[:k] for tokens, _ in e["f"] for t in tokens for k in (2, 3, 4) if len(t) > k}
+def keys_of(anchor: str) -> set[str]:
+    """Keys of an anchor's neighbourhood: two anchors that share one are compared."""
+    kind, t = anchor[0], anchor[1:]
+    if kind == "t":
+        keys = {"t" + d for d in deletes(t)} | {"n" + t[:k] for k in (2, 3, 4) if len(t) > k}
+        return keys | {"p" + d for d in deletes(sound(t))} if len(t) > 3 else keys
+    if kind == "m":
+        return {"N" + t[:k] for k in (2, 3, 4) if len(t) > k and _NICK.fullmatch(t[k:])}
+    if kind == "w":
+        return {"s" + d for d in ({t} | {t[:i] + t[i + 1 :] for i in range(len(t))} if len(t) > 3 else {t})} | {"q" + kana_sound(t)}
+    return {"s" + t}
+
+
+def neighbours(a: str, b: str) -> bool:
+    """Are two anchors that share a key spellings of one thing?"""
+    if a[0] in "sw":
+        return True
+    return token_score(a[1:], b[1:]) > (0 if "m" in (a[0], b[0]) else 0.6)
 
 
 @lru_cache(maxsize=50_000)
@@ -204,15 +219,52 @@ def token_score(a: str, b: str) -> float:
     return 0.0
 
 
+def assignment(gain: list[list[float]]) -> list[int]:
+    """The column of every row so that the summed gain is greatest (rows <= columns), each column used once.
+
+    Rows enter one after the other; each entering row searches the cheapest chain of exchanges to a free column over
+    reduced costs, so the time grows with rows squared times columns.
+    """
+    n, m = len(gain), len(gain[0]) if gain else 0
+    row_price, col_price = [0.0] * n, [0.0] * m
+    owner: list[int] = [-1] * m
+    for entering in range(n):
+        dist, before, done = [float("inf")] * m, [-1] * m, [False] * m
+        row, reached, at = entering, 0.0, -1
+        while True:
+            for j in range(m):
+                if not done[j]:
+                    d = reached - gain[row][j] - row_price[row] - col_price[j]
+                    if d < dist[j] - 1e-12:
+                        dist[j], before[j] = d, at
+            at = min((j for j in range(m) if not done[j]), key=lambda j: dist[j])
+            reached, done[at] = dist[at], True
+            if owner[at] < 0:
+                break
+            row = owner[at]
+        for j in range(m):
+            if done[j]:
+                if owner[j] >= 0:
+                    row_price[owner[j]] += reached - dist[j]
+                col_price[j] -= reached - dist[j]
+        row_price[entering] += reached
+        while at >= 0:
+            owner[at] = entering if before[at] < 0 else owner[before[at]]
+            at = before[at]
+    return [owner.index(i) for i in range(n)]
+
+
 def align(a: list[str], b: list[str]) -> tuple[float, list[float]]:
     """Optimal assignment of the shorter name's tokens to the longer's: (sum, scores)."""
-    short, long = sorted((a[:4], b[:4]), key=len)
-    best: tuple[float, list[float]] = (-1.0, [])
-    for chosen in permutations(range(len(long)), len(short)):
-        scores = [token_score(t, long[i]) for t, i in zip(short, chosen)]
-        if sum(scores) > best[0]:
-            best = (sum(scores), scores)
-    return best
+    short, long = sorted((a, b), key=len)
+    if not short:
+        return -1.0, []
+    scores = [[token_score(t, u) for u in long] for t in short]
+    if len(long) <= 3:
+        best = max((tuple(row[i] for row, i in zip(scores, chosen)) for chosen in permutations(range(len(long)), len(short))), key=sum)
+    else:
+        best = tuple(row[i] for row, i in zip(scores, assignment(scores)))
+    return sum(best), list(best)
 
 
 def name_score(a: list, b: list) -> float:
@@ -310,28 +362,60 @@ def _pair(a: dict, b: dict) -> float:
 
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    text = pa.list_(pa.string())
     for b in batches:
         d = b.to_pydict()
         parsed = [parse_entry(n, v, t) for n, v, t in zip(d["nom"], d["variantes"], d["termes"])]
-        keys = [sorted(keys_of(e)) for e in parsed]
-        stems = [sorted(stems_of(e)) for e in parsed]
+        anchors = [sorted(anchors_of(e)) for e in parsed]
         said = [json.dumps(e, ensure_ascii=False, sort_keys=True) for e in parsed]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(said, pa.string()), pa.array(keys, text), pa.array(stems, text)], names=["entree", "oeuvre", "dit", "keys", "stems"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(said, pa.string()), pa.array(anchors, pa.list_(pa.string()))], names=["entree", "oeuvre", "dit", "anchors"])
+
+
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array([sorted(keys_of(a)) for a in b.column("anchor").to_pylist()], pa.list_(pa.string()))], names=[*b.schema.names, "keys"])
+
+
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield b.filter(pa.array([neighbours(x, y) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())], pa.bool_()))
 
 
 def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    read = lru_cache(maxsize=4_096)(json.loads)
+    read = lru_cache(maxsize=16_384)(json.loads)
     for b in batches:
         s = [pair_score(read(x), read(y)) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s, pa.float64())], names=["a", "b", "score"])
 
 
-def components(nodes: DataFrame, links: DataFrame, most: int = 60) -> DataFrame:
-    """``id, core``: the least id each node is connected to (label propagation with pointer jumps)."""
+def candidates(same: DataFrame) -> DataFrame:
+    """``a, b`` (a < b): representatives (``id, oeuvre, anchors``) with equal or neighbouring anchors, repeats included."""
+    held = materialise(same.select("id", "oeuvre", F.explode("anchors").alias("anchor")).select("id", "oeuvre", "anchor", F.xxhash64("oeuvre", "anchor").alias("k")))
+    anchors = held.groupBy("k").agg(F.min("oeuvre").alias("oeuvre"), F.min("anchor").alias("anchor"), F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    anchors = materialise(spread(anchors).mapInArrow(_keys, "k bigint, oeuvre string, anchor string, parts int, keys array<string>"))
+    keyed = anchors.select("k", "oeuvre", "anchor", "parts", F.explode("keys").alias("key"))
+    # a nickname (N) meets the long forms (n) of its stem, other keys meet their like
+    meets = F.when(F.col("key").startswith("N"), F.concat(F.lit("n"), F.substring("key", 2, 99))).otherwise(F.col("key"))
+    x = keyed.where("key NOT LIKE 'n%'").select("k", "anchor", "parts", F.xxhash64("oeuvre", meets).alias("j"), (~F.col("key").startswith("N")).alias("twice"))
+    y = keyed.where("key NOT LIKE 'N%'").select("k", "anchor", "parts", F.xxhash64("oeuvre", "key").alias("j"))
+    met = x.alias("x").join(y.alias("y"), (F.col("x.j") == F.col("y.j")) & ((F.col("x.k") < F.col("y.k")) | (~F.col("x.twice") & (F.col("x.k") != F.col("y.k")))))
+    met = met.groupBy(F.col("x.k").alias("ka"), F.col("y.k").alias("kb")).agg(F.min("x.anchor").alias("va"), F.min("y.anchor").alias("vb"), F.min("x.parts").alias("pa"), F.min("y.parts").alias("pb"))
+    near = met.mapInArrow(_near, "ka bigint, kb bigint, va string, vb string, pa int, pb int").select("ka", "kb", "pa", "pb")
+    near = near.unionByName(anchors.select(F.col("k").alias("ka"), F.col("k").alias("kb"), F.col("parts").alias("pa"), F.col("parts").alias("pb")))
+    # The entries of an anchor are dealt out in parts; two parts are one group of at most about PART * PART pairs.
+    group = near.select("ka", "kb", "pa", "pb", F.explode(F.sequence(F.lit(0), F.col("pa") - 1)).alias("ia")).select("ka", "kb", "pa", "pb", "ia", F.explode(F.sequence(F.lit(0), F.col("pb") - 1)).alias("ib")).where("ka <> kb OR ia <= ib")
+    group = materialise(group.withColumn("g", F.xxhash64("ka", "kb", "ia", "ib")))
+    parts = anchors.select("k", "parts")
+    member = held.select("id", "k").join(parts, "k").select("id", "k", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("i"))
+    a = member.join(group.select(F.col("ka").alias("k"), F.col("ia").alias("i"), "g", (F.col("ka") == F.col("kb")).alias("own"), (F.col("ia") == F.col("ib")).alias("level")), ["k", "i"]).select("g", F.col("id").alias("a"), (F.col("own") & F.col("level")).alias("once"))
+    b = member.join(group.select(F.col("kb").alias("k"), F.col("ib").alias("i"), "g"), ["k", "i"]).select("g", F.col("id").alias("b"))
+    return a.join(b, "g").where("a < b OR (a > b AND NOT once)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """``id, core``: the least id each node is connected to (label propagation with pointer jumps, until none moves)."""
     both = materialise(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = materialise(nodes.select("id", F.col("id").alias("core")))
-    for _ in range(most):
+    while True:
         offered = both.join(labels, both.b == labels.id).groupBy("a").agg(F.min("core").alias("offer"))
         joined = labels.join(offered, labels.id == offered.a, "left")
         step = joined.select("id", F.least("core", F.coalesce("offer", "core")).alias("new"), "core")
@@ -341,23 +425,15 @@ def components(nodes: DataFrame, links: DataFrame, most: int = 60) -> DataFrame:
         labels = step.select("id", "core")
         if step.where("core <> old").isEmpty():
             return labels
-    raise RuntimeError(f"labels still move after {most} rounds")
 
 
 def same_characters(entries: DataFrame) -> DataFrame:
     """``oeuvre, entree, perso``: every usable entry and its character (the least key in it)."""
-    rows = entries.where("oeuvre IS NOT NULL AND entree_id IS NOT NULL").select(F.col("entree_id").cast("bigint").alias("entree"), "oeuvre", "nom", "variantes", F.col("termes_source").alias("termes")).dropDuplicates(["entree"])
-    read = materialise(spread(rows).mapInArrow(_index, "entree bigint, oeuvre string, dit string, keys array<string>, stems array<string>").where("size(keys) > 0"))
-    same = read.groupBy("oeuvre", "dit").agg(F.min("entree").alias("id"), F.first("keys").alias("keys"), F.first("stems").alias("stems"))
-    same = materialise(same)
-    key = lambda c: F.xxhash64("oeuvre", c)
-    index = materialise(same.select("id", F.explode("keys").alias("k"), "oeuvre").select("id", key("k").alias("k"), F.col("k").startswith("n").alias("nick")))
-    stems = same.select("id", F.explode("stems").alias("k"), "oeuvre").select("id", key("k").alias("k"))
-    plain = index.where("NOT nick")
-    x, y = plain.alias("x"), plain.alias("y")
-    near = x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    nicks = index.where("nick").alias("x").join(stems.alias("y"), (F.col("x.k") == F.col("y.k")) & (F.col("x.id") != F.col("y.id"))).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
-    pairs = near.unionByName(nicks).distinct()
+    rows = entries.where("oeuvre IS NOT NULL AND entree_id IS NOT NULL").select(F.col("entree_id").cast("bigint").alias("entree"), "oeuvre", "nom", "variantes", F.col("termes_source").alias("termes"))
+    rows = one_per_key(rows, "entree")
+    read = materialise(spread(rows).mapInArrow(_index, "entree bigint, oeuvre string, dit string, anchors array<string>").where("size(anchors) > 0"))
+    same = materialise(read.groupBy("oeuvre", "dit").agg(F.min("entree").alias("id"), F.min("anchors").alias("anchors")))
+    pairs = candidates(same).distinct()
     said = same.select("id", "dit")
     scored = pairs.join(said.select(F.col("id").alias("a"), F.col("dit").alias("da")), "a").join(said.select(F.col("id").alias("b"), F.col("dit").alias("db")), "b").select("a", "b", "da", "db")
     scored = materialise(scored.mapInArrow(_score, "a bigint, b bigint, score double").where(f"score >= {LIKELY} OR score = {CONFLICT}"))

@@ -45,8 +45,12 @@ _ORDINAL = re.compile(r"\d+(?:st|nd|rd|th|er|re|e|ème|eme|º|ª|h|km|m|s)?|[^\W
 _HYPHEN = re.compile(r"([^\W\d_][\w|@¢$]*(?:-[\w|@¢$]+)*)\s?([-‐‑¬" + chr(0xAD) + r"])[ \t" + chr(0xA0) + "]*$")
 _START = re.compile(r"\W{0,2}?([\w|@¢$]+(?:-[\w|@¢$]+)*)")
 _MASK = (1 << 63) - 1
-#: Most words broadcast as certainly right (they only save work; the others are joined).
+#: Most words broadcast as certainly right: they save the joins of words no correction names, and change no row.
 COMMON = 20_000
+#: Share of the clean words from which a word is known to stand alone, so a hyphen after it needs evidence.
+STANDS_ALONE = 2e-5
+#: Longer words are compared with all right words of like length instead of by hashes.
+LONG = 40
 
 
 def anagram(word: str) -> int:
@@ -72,12 +76,14 @@ def words_of(line: str) -> list[str]:
     return [w for w in map(str.casefold, _seen_words(line)) if _LATIN.search(w)]
 
 
-def targets(word: str) -> list[int]:
-    """Anagram hashes of the words that one or two kinds of confusion could have turned into ``word``."""
+def targets(word: str) -> list[int] | None:
+    """Anagram hashes of the words that one or two kinds of confusion, each any number of times, could have turned
+    into ``word``; None for a word of over ``LONG`` characters, whose pairs of steps would be too many."""
+    if len(word) > LONG:
+        return None
     h, steps = anagram(word), []
     for i, (read, _, delta) in enumerate(_DELTAS):
-        n = word.count(read)
-        steps += [(i, k * delta) for k in {*range(1, min(n, 5) + 1), n} if n]
+        steps += [(i, k * delta) for k in range(1, word.count(read) + 1)]
     one = {(h - d) & _MASK for _, d in steps}
     two = {(h - a - b) & _MASK for (i, a), (j, b) in combinations(steps, 2) if i != j} if len(word) > 3 else set()
     return list(one | two)
@@ -85,18 +91,23 @@ def targets(word: str) -> list[int]:
 
 def undone(word: str, true: str, kinds: int = 2) -> bool:
     """Can glyphs of at most ``kinds`` confusions, wherever they stand, be put back so that ``word`` is ``true``?"""
-
-    def walk(i: int, j: int, used: frozenset) -> bool:
-        if i == len(word) or j == len(true):
-            return i == len(word) and j == len(true)
-        if word[i] == true[j] and walk(i + 1, j + 1, used):
+    todo = [(0, 0, frozenset())]
+    met = set(todo)
+    while todo:
+        i, j, used = todo.pop()
+        if i == len(word) and j == len(true):
             return True
+        if i == len(word) or j == len(true):
+            continue
+        steps = [(i + 1, j + 1, used)] if word[i] == true[j] else []
         for n, (read, real, _) in enumerate(_DELTAS):
-            if (n in used or len(used) < kinds) and word.startswith(read, i) and true.startswith(real, j) and walk(i + len(read), j + len(real), used | {n}):
-                return True
-        return False
-
-    return walk(0, 0, frozenset())
+            if (n in used or len(used) < kinds) and word.startswith(read, i) and true.startswith(real, j):
+                steps.append((i + len(read), j + len(real), used | {n}))
+        for step in steps:
+            if step not in met:
+                met.add(step)
+                todo.append(step)
+    return False
 
 
 def scan_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,7 +174,12 @@ def corrections(words: DataFrame) -> DataFrame:
     good = hashed.where("propres >= 3 AND mot rlike '^[\\\\p{L}]{2,}$'").select(F.col("mot").alias("v"), n.alias("nv"), F.col("minuscules").alias("lv"), "h")
     # Two names may differ by a confusable glyph and both be right, so letters alone tell little of a name.
     names = (F.col("lw") == 0) & (F.col("lv") == 0) & F.col("w").rlike(r"^\p{L}+$") & (F.col("nw") > 2) & (F.col("nv") < 200 * F.col("nw"))
-    near = bad.join(good, "h").where("v <> w AND nv >= 5 * nw AND (pw = 0 OR nv >= 20 * nw)").where(~names).select("w", "v", "nv")
+    # A confusion at most halves or doubles a word, so the long ones meet the right words of like magnitude.
+    size = F.floor(F.log2(F.length("mot"))).cast("int")
+    long_bad = hashed.where(f"suspect AND length(mot) > {LONG}").select(F.col("mot").alias("w"), n.alias("nw"), F.col("propres").alias("pw"), F.col("minuscules").alias("lw"), F.explode(F.array(size - 1, size, size + 1)).alias("z"))
+    long_good = hashed.where(f"propres >= 3 AND length(mot) > {LONG // 2} AND mot rlike '^[\\\\p{{L}}]+$'").select(F.col("mot").alias("v"), n.alias("nv"), F.col("minuscules").alias("lv"), size.alias("z"))
+    met = bad.join(good, "h").drop("h").unionByName(long_bad.join(long_good, "z").drop("z"))
+    near = met.where("v <> w AND nv >= 5 * nw AND (pw = 0 OR nv >= 20 * nw)").where(~names).select("w", "v", "nv")
     right = near.mapInArrow(_verify, "w string, v string, nv bigint").groupBy("w").agg(F.max(F.struct("nv", "v")).alias("best")).select(F.col("w").alias("mot"), F.col("best.v").alias("juste"))
     signs = hashed.where("suspect").where(F.col("mot").rlike(r"\p{L}[0-9|@¢$€£!]+\p{L}|[|@¢$€£]\p{L}{2}|\p{L}{2}[|@¢$€£]|\p{L}{3}[0-9]$|^[0-9]\p{L}{3}")).where(~F.col("mot").rlike(r"^[0-9]+(st|nd|rd|th|er|re|e|ème|º|ª|h|km)$")).select("mot")
     return signs.join(right, "mot", "full").select("mot", "juste")
@@ -178,9 +194,9 @@ def furniture_lines(lines: list[str], title: str | None, bubble: bool) -> dict[i
     edges = {0, 1, len(lines) - 1, len(lines) - 2} if bubble else None
     for i, line in enumerate(lines):
         s = line.strip()
-        if not s or len(s) > 90 or (edges is not None and i not in edges):
+        if not s or (edges is not None and i not in edges):
             continue
-        if len(s) <= 24 and furniture.is_folio(s):
+        if (len(s) <= 24 or len("".join(s.split())) <= 24) and furniture.is_folio(s):
             plain = re.fullmatch(r"\d{1,4}|[ivxl]+\.?", furniture.bare(s))
             year = re.fullmatch(r"1\d{3}|20\d\d", s) and i <= first + 4 and not bubble
             if not year and not (bubble and plain and (i not in (0, len(lines) - 1) or not s[0].isdigit())):
@@ -233,8 +249,8 @@ def _layout(common: frozenset):
                 parted: dict[int, set[str]] = {}
                 for i, left, right, sign in halves(lines, noise):
                     a, z = lookalikes.look(left).casefold(), lookalikes.look(right).casefold()
-                    sure = sign in "¬" + chr(0xAD) or (sign in "-‐‑" and (right[0].islower() or left.isupper()) and a not in common)
-                    add(champ, cle, i, "cesure" if sure else "cesure?", a + z, f"{a}-{z}", None)
+                    kind = "cesure" if sign in "¬" + chr(0xAD) else "cesure~" if right[0].islower() or left.isupper() else "cesure?"
+                    add(champ, cle, i, kind, a + z, f"{a}-{z}", a)
                     # a half is no word of its own; only signs inside it show a misreading
                     for part in (*words_of(left), *words_of(right)):
                         if part.isalpha():
@@ -244,8 +260,8 @@ def _layout(common: frozenset):
                         rare = {w for w in words_of(line) if w not in common} - parted.get(i, set()) - parted.get(i - 1, set())
                         for w in rare:
                             add(champ, cle, i, "mot", w, None, None)
-            kinds = (pa.string(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["champ", "cle", "ligne", "quoi", "mot", "compose"])
+            kinds = (pa.string(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["champ", "cle", "ligne", "quoi", "mot", "compose", "gauche"])
 
     return run
 
@@ -257,13 +273,17 @@ def noise_rows(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     sure = words.where("propres >= 50 AND propres > bruites / 5").orderBy(F.desc("propres"), "mot").limit(COMMON)
     common = frozenset(r.mot for r in sure.join(fixes.select("mot"), "mot", "left_anti").select("mot").collect())
     noisy = texts.where("NOT propre AND texte IS NOT NULL AND texte <> ''").select("champ", F.col("cle").cast("bigint").alias("cle"), "texte", "titre")
-    rows = materialise(spread(noisy).mapInArrow(_layout(common), "champ string, cle bigint, ligne int, quoi string, mot string, compose string"))
+    rows = materialise(spread(noisy).mapInArrow(_layout(common), "champ string, cle bigint, ligne int, quoi string, mot string, compose string, gauche string"))
     known = words.select("mot", (F.col("propres") + F.col("bruites")).alias("n"))
     glyphs = rows.where("quoi = 'mot'").join(fixes, "mot").select("champ", "cle", "ligne", F.lit("glyphe").alias("bruit"), "mot", "juste")
+    # Without evidence for either spelling a hyphen parts a word, unless its first half is known to stand alone.
+    total = words.agg(F.sum("propres")).first()[0] or 0
+    alone = words.where(F.col("propres") >= STANDS_ALONE * total).select(F.col("mot").alias("gauche"), F.lit(True).alias("seul"))
     cuts = rows.where("quoi like 'cesure%'")
-    cuts = cuts.join(known.select(F.col("mot"), F.col("n").alias("n_joint")), "mot", "left").join(known.select(F.col("mot").alias("compose"), F.col("n").alias("n_compose")), "compose", "left")
+    cuts = cuts.join(known.select(F.col("mot"), F.col("n").alias("n_joint")), "mot", "left").join(known.select(F.col("mot").alias("compose"), F.col("n").alias("n_compose")), "compose", "left").join(alone, "gauche", "left")
     joined, compound = F.coalesce("n_joint", F.lit(0)), F.coalesce("n_compose", F.lit(0))
-    cuts = cuts.where((joined > compound) | ((joined == compound) & (F.col("quoi") == "cesure"))).select("champ", "cle", "ligne", F.lit("cesure").alias("bruit"), "mot", F.lit(None).cast("string").alias("juste"))
+    by_form = (F.col("quoi") == "cesure") | ((F.col("quoi") == "cesure~") & F.col("seul").isNull())
+    cuts = cuts.where((joined > compound) | ((joined == compound) & by_form)).select("champ", "cle", "ligne", F.lit("cesure").alias("bruit"), "mot", F.lit(None).cast("string").alias("juste"))
     edges = rows.where("quoi IN ('entete', 'folio')").select("champ", "cle", "ligne", F.col("quoi").alias("bruit"), "mot", F.lit(None).cast("string").alias("juste"))
     return edges.unionByName(cuts).unionByName(glyphs), fixes
 

@@ -68,3 +68,17 @@ def test_forms_of_both_fields(spark, tmp_path):
     got = {(r.champ, r.cle, r.rang, r.forme) for r in L.p6_formes(spark, str(tmp_path)).collect()}
     terms = {(7, 0, "エリ"), (7, 1, "エリ"), (7, 2, None), (9, 0, "マリ")}
     assert got == {("bulles.ocr", 1, None, "カルーヤ"), ("bulles.ocr", 2, None, "カルーヤ"), ("bulles.ocr", 3, None, None)} | {("personnages.termes_source", *t) for t in terms}
+
+
+def test_without_the_walk_look_alike_letters_stay_apart(spark, monkeypatch):
+    """The trie decides: the table alone brings no letters of other scripts together."""
+    values = ["valley", "v" + chr(0x430) + "lley", "カル一", "カルー", "ｖａｌｌｅｙ"]
+    assert _pairs(spark, values) == {(0, 1), (0, 4), (1, 4), (2, 3)}
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(values)], "key bigint, t string")
+    assert {r.text: r.form for r in L.consistent_forms(df, "key", "t")[0].collect()} == {values[1]: "valley", values[2]: "カルー", values[4]: "valley"}
+    assert {t: L.by_table(t) for t in values[1:3]} == {t: t for t in values[1:3]} and L.by_table(values[4]) == "valley"
+
+
+def test_shards_follow_the_vocabulary(spark, monkeypatch):
+    monkeypatch.setattr(L, "SHARD_TOKENS", 1)
+    test_pairs_equal_brute_force(spark)

@@ -70,3 +70,28 @@ def test_repeated_rows_are_one_record(spark, vocabulary):
     records, _ = mixing.mix_sources(twice, _targets(spark, [("m", "a", 1.0, 1)]), blocks=20, directory=vocabulary)
     rows = records.collect()
     assert len({r.doc_id for r in rows}) == len(rows) == 20 and {r.repetitions for r in rows} == {1}
+
+
+@pytest.mark.parametrize("shard_rows", [2_000, 20])
+def test_more_shards_than_blocks(spark, vocabulary, shard_rows):
+    docs = _documents(spark, {"a": [10] * 2_000, "b": [50] * 400})
+    records, report = mixing.mix_sources(docs, _targets(spark, [("m", "a", 0.5, 1), ("m", "b", 0.5, 1)]), blocks=40, shard_rows=shard_rows, directory=vocabulary)
+    rep = {r.source: r for r in report.collect()}
+    assert abs(rep["a"].part_reelle - 0.5) < 0.005 and rep["a"].tokens_pris + rep["b"].tokens_pris >= 0.99 * 40_000
+
+
+def test_what_a_long_record_leaves_is_filled_by_others(spark, vocabulary):
+    """Shares hold although the seeded order meets records longer than a quota's rest."""
+    rng = random.Random(3)
+    docs = _documents(spark, {"a": [rng.choice((5, 9, 30, 400)) for _ in range(120)], "b": [7] * 300})
+    total = 1_500
+    _, report = mixing.mix_sources(docs, _targets(spark, [("m", "a", 0.6, 1), ("m", "b", 0.4, 1)]), total_tokens=total, directory=vocabulary)
+    rep = {r.source: r for r in report.collect()}
+    assert abs(rep["a"].tokens_pris - 900) <= 5 and abs(rep["b"].tokens_pris - 600) <= 4
+
+
+def test_repeated_keys_that_differ_count_as_the_least(spark, vocabulary):
+    docs = spark.createDataFrame([(1, "mot " * 9, "a", ""), (1, "mot " * 3, "a", ""), (2, "mot " * 5, "a", "")], "doc_id bigint, text string, source string, melange string")
+    records, _ = mixing.mix_sources(docs, _targets(spark, [("m", "a", 1.0, 1)]), directory=vocabulary)
+    small = mixing.token_counts(docs, "text", ["doc_id"], directory=vocabulary).where("doc_id = 1").agg(F.min("n_tokens")).first()[0]
+    assert {r.doc_id: r.n_tokens for r in records.collect()}[1] == small

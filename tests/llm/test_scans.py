@@ -39,6 +39,28 @@ def test_a_confusion_put_back_is_found_by_the_hash():
     assert not scans.undone("captain", "silver") and not scans.undone("cat", "cats")
 
 
+def test_every_number_of_misread_glyphs_is_hashed_and_long_runs_end():
+    assert scans.anagram("mississippian") in scans.targets("mlsslsslpplan") and scans.undone("mlsslsslpplan", "mississippian")
+    for n in range(1, 9):
+        assert scans.anagram("e" * 8 + "x") in scans.targets("c" * n + "e" * (8 - n) + "x"), n
+    assert scans.undone("c" * 1_500, "e" * 1_500) and not scans.undone("c" * 1_500, "e" * 1_499 + "x")
+
+
+def test_long_words_and_long_titles(spark):
+    word, title = "anticonstitutionnellementinterminablement", "La Très Longue Et Très Ancienne Chronique Des Gardiens Du Phare De La Falaise Aux Oiseaux Blancs De Sel"
+    page = f"the storm\n{title.upper()}                    77\nthe captain said {word.replace('e', 'c')} again\n-          12          -\nthe weavers"
+    rows = [("bulles.traduction", -1 - k, t, None, True, "x") for k, t in enumerate([*CLEAN, *[f"the {word}"] * 30])] + [("extraits.text", 0, page, title + " Chap.4.pdf", False, "x")]
+    df = spark.createDataFrame(rows, TEXTS)
+    assert {(r.ligne, r.bruit) for r in scans.noise_rows(df)[0].collect()} == {(1, "entete"), (2, "glyphe"), (3, "folio")}
+
+
+def test_the_set_of_common_words_changes_no_row(spark, monkeypatch):
+    page = "The old capta-\nin gave the-\nn that silver seal near tlie storm-\nbird and the\nold-\nish weavers"
+    got, df = _found(spark, [page])
+    monkeypatch.setattr(scans, "COMMON", 0)
+    assert {(r.cle, r.ligne, r.bruit) for r in scans.noise_rows(df)[0].select("cle", "ligne", "bruit").distinct().collect()} == got
+
+
 def test_folios_and_headers():
     for t in ("112", "- 3 -", "[186]", "· 82 ·", "— 195 —", "164.", "p. 53/98", "Page 12", "Página 6", "99頁", "xii", "iv"):
         assert furniture.is_folio(t), t
