@@ -3,8 +3,8 @@
 Method: the vocabulary is every token of the values, with its frequency: of the values written in plain characters
 (those spellings are plain) and of the others.  Each odd token traverses a trie of the vocabulary with a weighted edit
 automaton, in which look-alike units cost nothing and ignorable characters cost nothing to skip (any other edit costs
-1, over the budget of 0).  Of the spellings reached the plain one is canonical, else the most frequent one, ties by code
-point.  The walk alone brings look-alike letters together; the table (compatibility forms, kinds of blank and of
+1, over the budget of 0).  Of the spellings reached the plain one is canonical, else the most frequent one (ties by code
+point) as the table writes it.  The walk alone brings look-alike letters together; the table (compatibility forms, kinds of blank and of
 apostrophe) normalises what reaches no spelling and the signs between tokens.  Trie and tokens are dealt out by their
 look (the units' classes), which every zero-cost path keeps, so a shard sees all spellings of its looks; there are as
 many shards as the counted vocabulary needs, and no vocabulary is broadcast.
@@ -19,7 +19,8 @@ characters, kinds of blank, apostrophe and hyphen, an ellipsis and three dots, l
 at the end.  Does not: case, line breaks, name separators, misread letters.
 
 Defined results: a null value has no form and is in no pair; an empty or blank value has the form ''.
-Rows with a null ``oeuvre`` (or ``tome``) are in no pair.  Whole values are used, however long.
+Rows with a null ``oeuvre`` (or ``tome``) are in no pair.  Two entries that share an identical term compare
+equal as they stand and are no pair, whatever else they hold.  Whole values are used, however long.
 """
 
 from __future__ import annotations
@@ -172,13 +173,16 @@ def _ending(form: str) -> str:
 
 
 def _shard(vocabulary: pd.DataFrame, tokens: pd.DataFrame) -> pd.DataFrame:
+    if not len(tokens):
+        return pd.DataFrame({"token": [], "form": []}, dtype=object)
     plain = set(vocabulary["token"])
     trie = LookTrie([*zip(vocabulary["token"], vocabulary["n"]), *((t, n) for t, n in zip(tokens["token"], tokens["n"]) if t not in plain)])
     out = []
     for t in tokens["token"]:
         found = trie.reach(t)
-        out.append(min(found, key=lambda x: (x[0] not in plain, -x[1], x[0]))[0] if found else by_table(t))
-    return pd.DataFrame({"token": tokens["token"], "form": out})
+        best = min(found, key=lambda x: (x[0] not in plain, -x[1], x[0]))[0] if found else t
+        out.append(best if best in plain else by_table(best))
+    return pd.DataFrame({"token": list(tokens["token"]), "form": out}, dtype=object)
 
 
 def _cut(text: str, seen: Counter) -> tuple[list[str], list[int], list[str], list[str]]:
@@ -287,6 +291,13 @@ def same_look_pairs(rows: DataFrame, key: str, cle: str, group: list[str], text:
     return pairs.select(F.least("a.cle", "b.cle").alias("cle_a"), F.greatest("a.cle", "b.cle").alias("cle_b")).distinct()
 
 
+def without_shared(pairs: DataFrame, values: DataFrame) -> DataFrame:
+    """The pairs whose two keys (``cle``) have no identical value: those that have one compare equal as they stand."""
+    held = values.where("texte IS NOT NULL").groupBy("cle").agg(F.collect_set(F.xxhash64("texte")).alias("h"))
+    a, b = held.select(F.col("cle").alias("cle_a"), F.col("h").alias("ha")), held.select(F.col("cle").alias("cle_b"), F.col("h").alias("hb"))
+    return pairs.join(a, "cle_a").join(b, "cle_b").where("NOT arrays_overlap(ha, hb)").select("cle_a", "cle_b")
+
+
 def _values(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     bubbles = table(spark, sf_dir, "bulles").select("bulle_id", "oeuvre", "tome", F.col("ocr").alias("texte"))
     entries = table(spark, sf_dir, "personnages").select("entree_id", "oeuvre", F.posexplode("termes_source").alias("rang", "texte"))
@@ -297,8 +308,8 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     bubbles, entries = _values(spark, sf_dir)
     a = same_look_pairs(bubbles, "bulle_id", "bulle_id", ["oeuvre", "tome"], "texte").select(F.lit("bulles.ocr").alias("champ"), "cle_a", "cle_b")
     entries = entries.withColumn("k", F.concat_ws("-", "entree_id", "rang"))
-    b = same_look_pairs(entries, "k", "entree_id", ["oeuvre"], "texte").select(F.lit("personnages.termes_source").alias("champ"), "cle_a", "cle_b")
-    return a.unionByName(b)
+    b = same_look_pairs(entries, "k", "entree_id", ["oeuvre"], "texte")
+    return a.unionByName(without_shared(b, entries.select(F.col("entree_id").alias("cle"), "texte")).select(F.lit("personnages.termes_source").alias("champ"), "cle_a", "cle_b"))
 
 
 def value_forms(bubbles: DataFrame, entries: DataFrame) -> DataFrame:

@@ -82,3 +82,10 @@ def test_without_the_walk_look_alike_letters_stay_apart(spark, monkeypatch):
 def test_shards_follow_the_vocabulary(spark, monkeypatch):
     monkeypatch.setattr(L, "SHARD_TOKENS", 1)
     test_pairs_equal_brute_force(spark)
+
+
+def test_entries_that_share_a_term_are_no_pair(spark, tmp_path):
+    spark.createDataFrame([], ROWS).write.parquet(f"{tmp_path}/bulles.parquet")
+    rows = [(1, "o", ["エリ", "カルー"]), (2, "o", ["工リ", "カルー"]), (3, "o", ["工リ"]), (4, "o", None), (5, "o", [None, "エリ"])]
+    spark.createDataFrame(rows, "entree_id bigint, oeuvre string, termes_source array<string>").write.parquet(f"{tmp_path}/personnages.parquet")
+    assert {(r.cle_a, r.cle_b) for r in L.p6_found(spark, str(tmp_path)).collect()} == {(1, 3), (2, 5), (3, 5)}
