@@ -71,11 +71,13 @@ _ODD = re.compile("|".join((
     "[.][.][.]", r"\s\Z", f"(?<=[{_WIDE}])[?!=]", f"(?<![{_WIDE}{_WIDE_SIGNS}])[{_WIDE_SIGNS}]", f"[?!=][{_WIDE_SIGNS}]|[{_WIDE_SIGNS}][?!=]",
 )))
 _RUNS = f"[{_KANA}{_AMBIGUOUS}]+|[{_HIRA}]+|(?:(?![{_AMBIGUOUS}])[{_HAN}])+"
-_WORDS = re.compile(_RUNS + f"|(?:(?![{_KANA}{_HIRA}{_HAN}])[^{chr(92)}W_])+")
 _FREE = _MARKS + _IGNORABLE
+#: Signs and blanks are never part of a token, though some count as letters.
+_APART = "".join(map(re.escape, _SIGNS))
+_WORDS = re.compile(_RUNS + f"|(?:(?![{_KANA}{_HIRA}{_HAN}{_APART}])[^{chr(92)}W_])+")
 #: The same runs in any dress: what looks like kana counts as kana, marks and ignorables go with their run.
 _HALF = chr(0xFF66) + "-" + chr(0xFF9F)
-_TOKEN = re.compile(f"[{_KANA}{_AMBIGUOUS}{_HALF}{_FREE}]*[{_KANA}{_AMBIGUOUS}{_HALF}][{_KANA}{_AMBIGUOUS}{_HALF}{_FREE}]*|[{_HIRA}{_FREE}]*[{_HIRA}][{_HIRA}{_FREE}]*|[{_FREE}]*(?:(?![{_AMBIGUOUS}])[{_HAN}][{_FREE}]*)+|[{_FREE}]*(?:(?![{_KANA}{_HIRA}{_HAN}{_HALF}])[^{chr(92)}W_][{_FREE}]*)+")
+_TOKEN = re.compile(f"[{_KANA}{_AMBIGUOUS}{_HALF}{_FREE}]*[{_KANA}{_AMBIGUOUS}{_HALF}][{_KANA}{_AMBIGUOUS}{_HALF}{_FREE}]*|[{_HIRA}{_FREE}]*[{_HIRA}][{_HIRA}{_FREE}]*|[{_FREE}]*(?:(?![{_AMBIGUOUS}])[{_HAN}][{_FREE}]*)+|[{_FREE}]*(?:(?![{_KANA}{_HIRA}{_HAN}{_HALF}{_APART}])[^{chr(92)}W_][{_FREE}]*)+")
 
 
 def units(text: str) -> list[str]:
@@ -143,6 +145,7 @@ class LookTrie:
         return states
 
 
+_WIDEN = str.maketrans(chr(0xFF98) + chr(0xFF8D), _EITHER_KANA[:2])
 _TO_KANA, _TO_HIRA = str.maketrans(_EITHER_HIRA, _EITHER_KANA), str.maketrans(_EITHER_KANA, _EITHER_HIRA)
 _EITHER = re.compile(f"[{_FREE}]*(?:[{_EITHER_HIRA}{_EITHER_KANA}][{_FREE}]*)+")
 _KANA_LOOK = re.compile(f"[{_KANA}{_HALF}{_AMBIGUOUS}]")
@@ -188,7 +191,7 @@ def _shard(vocabulary: pd.DataFrame, tokens: pd.DataFrame) -> pd.DataFrame:
 def _cut(text: str, seen: Counter) -> tuple[list[str], list[int], list[str], list[str]]:
     """Segments of an odd value; places, spellings and looks of its odd tokens.  Its plain ones count as ``seen``."""
     segments, at, tokens, looks = [], [], [], []
-    done, text = 0, _by_neighbours(text)
+    done, text = 0, _by_neighbours(text.translate(_WIDEN))
     for m in _TOKEN.finditer(text):
         if m.start() > done:
             segments.append(by_table(text[done : m.start()]))

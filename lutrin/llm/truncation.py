@@ -3,10 +3,11 @@
 Method: intact values (a bounded sample by hashed key, ``SAMPLE`` per field) are cut artificially, at
 random places and at the limits the sources show, with and without debris, to make positives; a logistic
 regression over hashed features of the closing characters and words, the punctuation of both sides and
-the length against the source's limit is fitted on them and scores every record.  An exact check follows
-for bubbles: a value that is empty, a placeholder or the source text given back is not a cut one, and a
-line whose own source has no final stop counts only where the length against the limit or debris shows it,
-or where the model is sure (``UNFINISHED``) that it stops inside a word or phrase.
+the length against the source's limit is fitted on them and scores every record.  An exact check of what the model
+takes for cut follows: a bubble that ends with a stop, is empty, a placeholder or the source text given back is not a
+cut one, nor is what ends otherwise than inside a sentence without debris; a line whose own source has no final stop
+either counts only where the length against the limit or debris shows it, or where the model is sure
+(``UNFINISHED``) that it stops inside a word or phrase.  Debris after a closed sentence is a case by itself.
 
 The limits are statistics over all data: for every source the largest length in characters and in bytes,
 and how many of its values end right there.
@@ -29,10 +30,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lutrin.llm import answers, furniture
-from lutrin.session import small_rows, spread, table
+from lutrin.session import materialise, spread, table
 
 #: Largest number of intact values per field and language from which positives are made.
 SAMPLE = 4_000
+#: Largest number of different limits at which the sample is cut.
+KINDS = 16
 BITS = 16
 #: Least probability of a cut where the source has no final stop either.
 UNFINISHED = 0.985
@@ -109,18 +112,25 @@ class Cutter:
     def __init__(self, weights: np.ndarray | None = None):
         self.weights = weights
 
-    def fit(self, rows: list[list[int]], labels: list[int], rounds: int = 6, rate: float = 0.25, decay: float = 1e-6, seed: int = 5) -> "Cutter":
-        """Adagrad on the log loss, in a seeded order."""
+    def fit(self, rows: list[list[int]], labels: list[int], rounds: int = 6, rate: float = 0.25, decay: float = 1e-6, seed: int = 5, batch: int = 64) -> "Cutter":
+        """Adagrad on the log loss, in a seeded order, ``batch`` examples at a time."""
         w, g = np.zeros(1 << BITS), np.full(1 << BITS, 1e-3)
-        order = np.random.default_rng(seed)
-        arrays = [np.array(sorted(set(r)), dtype=np.int64) for r in rows]
+        order, y = np.random.default_rng(seed), np.asarray(labels, float)
+        unique = [sorted(set(r)) for r in rows]
+        width = max(map(len, unique), default=0)
+        x = np.array([r + [1 << BITS] * (width - len(r)) for r in unique], dtype=np.int64).reshape(len(rows), width)
         for _ in range(rounds):
-            for i in order.permutation(len(arrays)):
-                x = arrays[i]
-                d = 1 / (1 + math.exp(-max(-30.0, min(30.0, float(w[x].sum()))))) - labels[i]
-                step = d + decay * w[x]
-                g[x] += step * step
-                w[x] -= rate * step / np.sqrt(g[x])
+            turn = order.permutation(len(x))
+            for k in range(0, len(turn), batch):
+                at, here = turn[k : k + batch], x[turn[k : k + batch]]
+                z = np.append(w, 0.0)[here].sum(1)
+                error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[at]
+                ids, back = np.unique(here, return_inverse=True)
+                step = np.bincount(back.ravel(), weights=np.repeat(error, width), minlength=len(ids))
+                ids, step = (ids[:-1], step[:-1]) if ids[-1] == 1 << BITS else (ids, step)
+                step += decay * w[ids]
+                g[ids] += step * step
+                w[ids] -= rate * step / np.sqrt(g[ids])
         self.weights = w
         return self
 
@@ -131,19 +141,21 @@ class Cutter:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def _cuts(text: str, rng: np.random.Generator, limits: list[int]) -> list[tuple[str, int]]:
-    """Artificial cuts of an intact value: (what is left, at_limit)."""
+def _cuts(text: str, rng: np.random.Generator, limits: list[tuple[int, int]]) -> list[tuple[str, int]]:
+    """Artificial cuts of an intact value: (what is left, at_limit).  A limit is one of characters or of bytes."""
     out = []
-    for limit in limits:
-        if len(text) > limit + 1:
-            out.append((text[:limit], 2))
+    for chars, size in limits:
+        if chars and len(text) > chars + 1:
+            out.append((text[:chars], 2))
+        elif size and len(text.encode("utf-8", "replace")) > size + 1:
+            out.append((text.encode("utf-8", "replace")[:size].decode("utf-8", "ignore"), 2))
     for _ in range(2):
         k = int(rng.integers(2, max(3, len(text))))
         out.append((text[:k], int(rng.integers(0, 2))))
     return [(t.rstrip(), a) for t, a in out if t.strip() and end_class(t.rstrip()) not in ("stop", "marker")]
 
 
-def training_set(sample: list[tuple], limits: list[int]) -> tuple[list[list[int]], list[int]]:
+def training_set(sample: list[tuple], limits: list[tuple[int, int]]) -> tuple[list[list[int]], list[int]]:
     """Positives cut from intact values, and the intact values themselves.
 
     ``sample`` holds (field, text, source text or None, pair, seed); intact are values that end as complete
@@ -196,13 +208,15 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bubbles.unionByName(files)
 
 
-def fit_cutter(rows: DataFrame, limits: dict, sample: int = SAMPLE) -> Cutter:
-    """Fit on about ``sample`` values per field and language pair, those with the smallest hashed keys,
-    and at most ``sample * 96`` examples in all; hashed features, not texts, reach the driver."""
+def fit_cutter(rows: DataFrame, limits: DataFrame, sample: int = SAMPLE) -> Cutter:
+    """Fit on about ``sample`` values per field and language pair, those with the smallest hashed keys, each cut
+    at the limit of its own or a neighbouring source; hashed features, not texts, reach the driver."""
     full = rows.where("texte IS NOT NULL AND trim(texte) <> ''").select("champ", F.coalesce("paire", F.lit("")).alias("paire"), "texte", "ocr", F.shiftrightunsigned(F.xxhash64("cle", F.lit(3)), 1).alias("h"))
     sizes = full.groupBy("champ", "paire").agg(F.count("*").alias("n"))
     few = full.join(F.broadcast(sizes), ["champ", "paire"]).where(F.col("h") / F.lit(float(1 << 63)) < F.lit(float(sample)) / F.col("n")).select("champ", "paire", "texte", "ocr", "h")
-    spans = sorted({int(x) for pair in limits.values() for x in pair if x})
+    # Cuts are made at the commonest limits: at most ``KINDS`` of them, in characters and in bytes.
+    kinds = limits.where("lim_c IS NOT NULL OR lim_o IS NOT NULL").groupBy("lim_c", "lim_o").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lim_c", "lim_o").limit(KINDS).collect()
+    spans = sorted((r.lim_c or 0, r.lim_o or 0) for r in kinds)
 
     def examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Features alone leave the executors; the texts stay there."""
@@ -214,70 +228,68 @@ def fit_cutter(rows: DataFrame, limits: dict, sample: int = SAMPLE) -> Cutter:
                 x, y, h = x + some, y + labels, h + [k] * len(labels)
             yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(y, pa.int32()), pa.array(x, pa.list_(pa.int32()))], names=["h", "y", "x"])
 
-    made = few.mapInArrow(examples, "h bigint, y int, x array<int>").limit(sample * 96).collect()
+    made = few.mapInArrow(examples, "h bigint, y int, x array<int>").collect()
     made.sort(key=lambda r: (r.h, r.y, r.x))
     model = Cutter()
     return model.fit([r.x for r in made], [r.y for r in made]) if 0 < sum(r.y for r in made) < len(made) else model
 
 
-def limits_of(rows: DataFrame) -> dict:
-    """``(champ, source) -> (limit in characters, limit in bytes)``; one row per source."""
-    return {(r.champ, r.source): (r.lim_c, r.lim_o) for r in small_rows(source_limits(rows))}
+def with_limits(rows: DataFrame, limits: DataFrame) -> DataFrame:
+    """``rows`` with the limits ``lim_c, lim_o`` of their ``champ`` and ``source`` (null where there is none)."""
+    a, b = rows.alias("a"), limits.where("lim_c IS NOT NULL OR lim_o IS NOT NULL").alias("b")
+    same = (F.col("a.champ") == F.col("b.champ")) & F.col("a.source").eqNullSafe(F.col("b.source"))
+    return a.join(b, same, "left").select("a.*", "b.lim_c", "b.lim_o")
 
 
-def judge(model: Cutter, limit: tuple, champ: str, text: str | None, source_text: str | None, title: str | None, pair: str) -> float:
-    """Probability that a value was cut; 0 for what the exact check rules out."""
+def judge(model: Cutter, limit: tuple, champ: str, text: str | None, source_text: str | None, title: str | None, pair: str) -> tuple[float, bool]:
+    """(probability by the model that a value was cut, is it a case after the exact checks)."""
     if not text or model.weights is None:
-        return 0.0
-    if champ == "bulles.traduction" and text[-1] in _STOP:
-        return 0.0  # nothing follows a translation, so its own end decides
-    body = furniture.content(text, title)
-    body, debris = strip_debris(body)
+        return 0.0, False
+    body, debris = strip_debris(furniture.content(text, title))
     if not body:
-        return 0.0
-    end = end_class(body)
-    if end in ("stop", "marker", "break", "close") and not debris:
-        return 0.0
+        return 0.0, False
+    bubble = champ == "bulles.traduction"
     lim_c, lim_o = limit
     at = 0 if not (lim_c or lim_o) else 2 if (lim_c and len(text) >= lim_c) or (lim_o and len(text.encode("utf-8", "replace")) >= lim_o - 3) else 1
-    unfinished = False
-    if champ == "bulles.traduction":
-        if answers.is_empty(text):
-            return 0.0
-        if source_text is not None:
-            source_text = furniture.content(source_text)
-            if answers.is_copy(source_text, text):
-                return 0.0
-            if end_class(source_text) in ("word", "none", "marker") and not debris and at < 2:
-                unfinished = True
-    if debris and end != "word":
-        return 1.0
-    p = model.score(features(champ, body, source_text, at, pair))
+    source = furniture.content(source_text) if bubble and source_text is not None else None
+    p = model.score(features(champ, body, source, at, pair))
+    end = end_class(body)
+    # Debris after a closed sentence is left of what followed it.
+    broken = bool(debris) and end != "word"
+    if p < 0.5 and not broken:
+        return p, False
+    if bubble and (text[-1] in _STOP or answers.is_empty(text) or (source is not None and answers.is_copy(source, text))):
+        return p, False  # nothing follows a translation, so its own end decides
+    if end != "word" and not debris:
+        return p, False
     # A line may end as its source does, without a stop: only what stops inside a word or phrase is cut then.
-    return p if not unfinished or p >= UNFINISHED else 0.0
+    if source is not None and end_class(source) in ("word", "none", "marker") and not debris and at < 2:
+        return p, p >= UNFINISHED
+    return (max(p, 0.5), True) if broken else (p, True)
 
 
-def score_records(rows: DataFrame, model: Cutter, limits: dict) -> DataFrame:
-    """``champ, cle, source, coupe DOUBLE`` of every record (0 for null and empty values)."""
+def score_records(rows: DataFrame, model: Cutter, limits: DataFrame) -> DataFrame:
+    """``champ, cle, source, coupe DOUBLE, cas BOOLEAN`` of every record (0 and false for null and empty values)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             d = b.to_pydict()
-            p = [judge(model, limits.get((c, s), (None, None)), c, t, o, furniture.title_of_file(f), q or "") for c, s, t, o, f, q in zip(d["champ"], d["source"], d["texte"], d["ocr"], d["fichier"], d["paire"])]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(p, pa.float64())], names=["champ", "cle", "source", "coupe"])
+            found = [judge(model, (lc, lo), c, t, o, furniture.title_of_file(f), q or "") for c, t, o, f, q, lc, lo in zip(d["champ"], d["texte"], d["ocr"], d["fichier"], d["paire"], d["lim_c"], d["lim_o"])]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([p for p, _ in found], pa.float64()), pa.array([x for _, x in found], pa.bool_())], names=["champ", "cle", "source", "coupe", "cas"])
 
-    return spread(rows.select("champ", "cle", "source", "texte", "ocr", "fichier", "paire")).mapInArrow(run, "champ string, cle bigint, source string, coupe double")
+    used = with_limits(spread(rows.select("champ", "cle", "source", "texte", "ocr", "fichier", "paire")), limits)
+    return used.mapInArrow(run, "champ string, cle bigint, source string, coupe double, cas boolean")
 
 
 def truncation_scores(rows: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    limits = limits_of(rows)
+    limits = materialise(source_limits(rows))
     return score_records(rows, fit_cutter(rows, limits, sample), limits)
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return truncation_scores(records(spark, sf_dir)).where("coupe >= 0.5").select("champ", "cle")
+    return truncation_scores(records(spark, sf_dir)).where("cas").select("champ", "cle")
 
 
 def p1_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of cut records of each ``canal`` and each ``outil``."""
-    return truncation_scores(records(spark, sf_dir)).groupBy("champ", "source").agg(F.count("*").alias("n"), F.sum(F.when(F.col("coupe") >= 0.5, 1).otherwise(0)).alias("coupes"), F.avg(F.when(F.col("coupe") >= 0.5, 1.0).otherwise(0.0)).alias("part"))
+    return truncation_scores(records(spark, sf_dir)).groupBy("champ", "source").agg(F.count("*").alias("n"), F.count_if("cas").alias("coupes"), F.avg(F.col("cas").cast("double")).alias("part"), F.avg("coupe").alias("moyenne"))

@@ -37,6 +37,7 @@ def test_what_looks_the_same_and_what_does_not(spark):
     assert _pairs(spark, ["a\nb", "a b", "a・b", "a＝b"]) == set()
     assert _pairs(spark, ["mot", "m0t", "mo t", "mot ", "mot" + chr(0x2009)]) == {(0, 3), (0, 4), (3, 4)}
     assert _pairs(spark, ["!?", "！？", "?!"]) == {(0, 1)}
+    assert _pairs(spark, ["Ana's clock", "Ana" + chr(0x2BC) + chr(0x455) + " clock", "終わりに", "終わ" + chr(0xFF98) + "に"]) == {(0, 1), (2, 3)}
 
 
 def test_cases(spark):
