@@ -10,6 +10,7 @@ _MODULES: tuple[str, ...] = (
     "lutrin.operators.statistics",
     "lutrin.operators.sequences",
     "lutrin.operators.entities",
+    "lutrin.operators.glossary",
     "lutrin.operators.spatial",
     "lutrin.operators.cleaning",
     "lutrin.operators.raster",
