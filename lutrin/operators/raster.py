@@ -15,32 +15,24 @@ from lutrin.operators.spatial import PAGE, boxes
 GRID, CELL = 64, 25
 
 
-def _window_sums(mask: np.ndarray, k: int) -> np.ndarray:
-    """Count of set cells in the square of side ``2k + 1`` around every cell (outside counts as unset)."""
-    padded = np.pad(mask.astype(np.int32), k)
-    total = np.pad(padded.cumsum(0).cumsum(1), ((1, 0), (1, 0)))
-    n = 2 * k + 1
-    return total[n:, n:] - total[:-n, n:] - total[n:, :-n] + total[:-n, :-n]
+def dilate(mask: np.ndarray, k: int = 1) -> np.ndarray:
+    """Cells with any set cell in the square of side ``2k + 1`` around them, clipped to the mask."""
+    out = np.asarray(mask, bool)
+    for axis in (0, 1) if k > 0 else ():
+        margin = [(k, k) if a == axis else (0, 0) for a in (0, 1)]
+        out = np.lib.stride_tricks.sliding_window_view(np.pad(out, margin), 2 * k + 1, axis=axis).any(-1)
+    return out.copy()
 
 
 def erode(mask: np.ndarray, k: int = 1) -> np.ndarray:
-    """Cells whose whole square is set."""
-    return _window_sums(mask, k) == (2 * k + 1) ** 2 if k > 0 else mask.copy()
-
+    """Cells without an unset cell in their square; what lies outside of the mask takes nothing away."""
+    return ~dilate(~np.asarray(mask, bool), k)
 
-def dilate(mask: np.ndarray, k: int = 1) -> np.ndarray:
-    """Cells with any set cell in their square."""
-    return _window_sums(mask, k) > 0 if k > 0 else mask.copy()
 
-
-def safe_erode(mask: np.ndarray, k: int, keep: float = 0.2) -> tuple[np.ndarray, int]:
-    """(mask, depth): the deepest erosion up to ``k`` that leaves at least ``keep`` of the cells."""
-    size = int(mask.sum())
-    for depth in range(k, 0, -1):
-        out = erode(mask, depth)
-        if out.sum() >= max(1, keep * size):
-            return out, depth
-    return mask.copy(), 0
+def safe_erode(mask: np.ndarray, k: int, keep: float = 0.1, least: int = 2) -> tuple[np.ndarray, int]:
+    """(mask, depth): erosion by ``k``, else by ``least``, if it leaves ``keep`` of the cells; else the mask and 0."""
+    tried = ((erode(mask, depth), depth) for depth in (k, least) if depth > 0 and mask.any())
+    return next(((out, depth) for out, depth in tried if out.sum() >= keep * mask.sum()), (mask.copy(), 0))
 
 
 def components(mask: np.ndarray, least: int = 1) -> list[np.ndarray]:
@@ -98,25 +90,29 @@ def regularity(widths: list[float], tolerance: float = 0.2) -> float:
     return good - 0.5 * (len(widths) - good)
 
 
-def radial_profile(mask: np.ndarray, sectors: int = 16) -> np.ndarray:
-    """Farthest set cell from the centre of mass per sector of the angle; 0 where a sector is empty."""
-    at = np.argwhere(mask).astype(float)
-    if not len(at):
-        return np.zeros(sectors)
-    d = at - at.mean(0)
-    sector = ((np.arctan2(d[:, 0], d[:, 1]) + np.pi) / (2 * np.pi) * sectors).astype(int) % sectors
-    out = np.zeros(sectors)
-    np.maximum.at(out, sector, np.hypot(d[:, 0], d[:, 1]))
-    return out
-
+def radial_profile(mask: np.ndarray, frame: np.ndarray | None = None, sectors: int = 120) -> np.ndarray:
+    """Farthest set cell per sector of the angle, in units of the half extents, so that an ellipse is a circle.
 
-def harmonic(profile: np.ndarray) -> float:
-    """Strength of the strongest wave along a profile, against its mean."""
-    mean = float(profile.mean()) if len(profile) else 0.0
-    if mean == 0:
-        return 0.0
-    wave = np.abs(np.fft.rfft(profile - mean))[1:]
-    return float(wave.max() * 2 / (len(profile) * mean)) if len(wave) else 0.0
+    ``frame`` is the mask that gives centre and extents (the mask itself by default).  A sector without cells has the
+    median of the others; an empty mask has zeros.
+    """
+    if not mask.any():
+        return np.zeros(sectors)
+    at = np.argwhere(mask if frame is None or not frame.any() else frame)
+    half = np.maximum(np.ptp(at, axis=0) / 2, 1.0)
+    y, x = ((np.argwhere(mask) - at.mean(0)) / half).T
+    place = pd.Series(x + 1j * y)
+    sector = np.minimum(((np.angle(place) / (2 * np.pi) + 0.5) * sectors).astype(int), sectors - 1)
+    far = place.abs().groupby(sector).max().reindex(range(sectors))
+    far = far.where(far > 0)
+    return far.fillna(far.median()).fillna(0.0).to_numpy()
+
+
+def harmonic(profile: np.ndarray, low: int = 6, high: int = 20) -> float:
+    """Amplitude of the strongest of the waves that go ``low`` to ``high`` times round, against the median radius."""
+    middle = np.median(profile) if len(profile) else 0.0
+    waves = np.abs(np.fft.rfft(profile))[low : high + 1] if len(profile) else np.zeros(0)
+    return float(2 * waves.max() / (len(profile) * middle)) if middle > 0 and len(waves) else 0.0
 
 
 def diffuse(values: np.ndarray, hole: np.ndarray, passes: int = 30) -> np.ndarray:

@@ -5,29 +5,49 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lutrin.session import table
+from lutrin.session import running, table
 
 
-def index_quantiles(df: DataFrame, by: list[str], value: str, points: dict[str, float]) -> DataFrame:
-    """Quantiles that are values of the population: the one at 0-based ``min(n - 1, floor(p n))``.
+def counted(df: DataFrame, by: list[str], value: str, *more: Column) -> DataFrame:
+    """``by, value, k, cum, n``: every distinct value with its count, the count up to it and the group's count.
 
-    A window ranks the values, so no group's values are gathered in one row.
+    Values are counted before anything is ordered, and the running counts are put together from parts, so no
+    group is sorted or held in one task.  ``more`` are further aggregates per value.
     """
-    rows = df.where(F.col(value).isNotNull())
-    w = Window.partitionBy(*by)
-    ranked = rows.select(*by, value, F.row_number().over(w.orderBy(value)).alias("r"), F.count("*").over(w).alias("n"))
-    pick = [F.max(F.when(F.col("r") == F.least(F.col("n"), F.floor(F.col("n") * p) + 1), F.col(value))).alias(name) for name, p in points.items()]
-    return ranked.groupBy(*by).agg(F.max("n").alias("n"), F.min(value).alias("mini"), *pick, F.max(value).alias("maxi"))
+    per = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("k"), *more)
+    total = df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count("*").alias("n"))
+    cum = running(per, by, [F.col(value)], F.col("k"), "cum")
+    same = None
+    for c in by:
+        same = F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) if same is None else same & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    return cum.alias("a").join(total.alias("b"), same).select("a.*", "b.n")
+
+
+def at_index(value: str, index: Column) -> Column:
+    """Aggregate over counted values: the value at a 0-based place of the ordered population."""
+    return F.min(F.when(F.col("cum") > index, F.col(value)))
+
+
+def percentile(value: str, p: float) -> Column:
+    """Aggregate over counted values: the percentile between the two nearest places."""
+    place = F.lit(p) * (F.col("n") - 1)
+    low, high = at_index(value, F.floor(place)), at_index(value, F.ceil(place))
+    part = F.max(place - F.floor(place))
+    return low + (high - low) * part
+
+
+def index_quantiles(df: DataFrame, by: list[str], value: str, points: dict[str, float]) -> DataFrame:
+    """Quantiles that are values of the population: the one at 0-based ``min(n - 1, floor(p n))``."""
+    pick = [at_index(value, F.least(F.col("n") - 1, F.floor(F.col("n") * p))).alias(name) for name, p in points.items()]
+    return counted(df, by, value).groupBy(*by).agg(F.max("n").alias("n"), F.min(value).alias("mini"), *pick, F.max(value).alias("maxi"))
 
 
 def separation(df: DataFrame, by: list[str], value: str, positive: Column) -> DataFrame:
     """Area under the ROC curve by mean ranks over ties; null where a side is empty."""
-    w = Window.partitionBy(*by)
-    rows = df.where(F.col(value).isNotNull()).select(*by, value, positive.alias("p"))
-    ranked = rows.withColumn("r", F.rank().over(w.orderBy(value)) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / 2)
-    a = F.sum(F.when(F.col("p"), 1).otherwise(0))
-    b = F.sum(F.when(F.col("p"), 0).otherwise(1))
-    return ranked.groupBy(*by).agg(F.round(F.try_divide(F.sum(F.when(F.col("p"), F.col("r"))) - a * (a + 1) / 2, a * b), 6).alias("auc"), a.alias("na"), b.alias("nb"))
+    rows = counted(df.select(*by, value, positive.alias("p")), by, value, F.count_if("p").alias("hits"))
+    rank = F.col("cum") - (F.col("k") - 1) / 2
+    a, b = F.sum("hits"), F.sum(F.col("k") - F.col("hits"))
+    return rows.groupBy(*by).agg(F.round(F.try_divide(F.sum(F.col("hits") * rank) - a * (a + 1) / 2, a * b), 6).alias("auc"), a.alias("na"), b.alias("nb"))
 
 
 def weighted_mode(df: DataFrame, by: list[str], value: str, weight: str) -> DataFrame:
@@ -59,7 +79,7 @@ def q_custom_quantiles(s, d):
 
 
 def q_linear_percentiles(s, d):
-    return table(s, d, "orders").groupBy("o_orderpriority").agg(*[F.round(F.percentile("o_totalprice", p), 6).alias(f"p{int(p * 100)}") for p in (0.01, 0.05, 0.25, 0.5, 0.75, 0.95)])
+    return counted(table(s, d, "orders"), ["o_orderpriority"], "o_totalprice").groupBy("o_orderpriority").agg(*[F.round(percentile("o_totalprice", p), 6).alias(f"p{int(p * 100)}") for p in (0.01, 0.05, 0.25, 0.5, 0.75, 0.95)])
 
 
 def q_auc_separation(s, d):
@@ -70,7 +90,9 @@ def q_judge_verdict(s, d):
     """Two populations of bubbles per channel: does the gap of medians reach the spread, and the AUC 0.80?"""
     b = table(s, d, "bulles").where("canal IS NOT NULL AND score IS NOT NULL").withColumn("haut", F.coalesce(F.col("debordement"), F.lit(False)))
     auc = separation(b, ["canal"], "score", F.col("haut"))
-    med = b.groupBy("canal").agg(F.median(F.when(F.col("haut"), F.col("score"))).alias("mh"), F.median(F.when(~F.col("haut"), F.col("score"))).alias("mb"), F.stddev_samp(F.when(~F.col("haut"), F.col("score"))).alias("sd"))
+    half = counted(b, ["canal", "haut"], "score").groupBy("canal", "haut").agg(percentile("score", 0.5).alias("m"))
+    middle = half.groupBy("canal").agg(F.max(F.when(F.col("haut"), F.col("m"))).alias("mh"), F.max(F.when(~F.col("haut"), F.col("m"))).alias("mb"))
+    med = b.groupBy("canal").agg(F.stddev_samp(F.when(~F.col("haut"), F.col("score"))).alias("sd")).join(middle, "canal")
     verdict = F.when(F.col("auc").isNull(), "non mesure").when((F.col("mh") - F.col("mb") >= F.col("sd")) & (F.col("auc") >= 0.8), "utilisable").otherwise("inutilisable")
     return med.join(auc, "canal").select("canal", F.round("mh", 6).alias("mh"), F.round("mb", 6).alias("mb"), "auc", verdict.alias("verdict"))
 
@@ -103,11 +125,14 @@ def q_phase_shares(s, d):
     e = table(s, d, "events").where("value IS NOT NULL").groupBy("user_id", "event_type").agg(F.sum("value").alias("v"))
     e = e.withColumn("part", F.col("v") / F.sum("v").over(Window.partitionBy("user_id"))).where("part > 0")
     spread = F.max("part") / F.min("part")
-    return e.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.median("part"), 6).alias("mediane"), F.round(F.min("part"), 6).alias("mini"), F.round(F.max("part"), 6).alias("maxi"), F.when((F.count("*") >= 3) & (spread <= 3), F.round(F.median("part"), 4)).alias("poids"))
+    middle = percentile("part", 0.5)
+    return counted(e.select("event_type", "part"), ["event_type"], "part").groupBy("event_type").agg(F.sum("k").alias("n"), F.round(middle, 6).alias("mediane"), F.round(F.min("part"), 6).alias("mini"), F.round(F.max("part"), 6).alias("maxi"), F.when((F.sum("k") >= 3) & (spread <= 3), F.round(middle, 4)).alias("poids"))
 
 
 def q_population_scale(s, d):
-    return table(s, d, "lineitem").groupBy("l_linestatus").agg(F.count("*").alias("n"), F.round(F.avg("l_quantity"), 6).alias("moyenne"), F.round(F.median("l_quantity"), 6).alias("mediane"), F.round(F.stddev_samp("l_quantity"), 6).alias("ecart"), F.min("l_quantity").alias("mini"), F.max("l_quantity").alias("maxi"))
+    rows = table(s, d, "lineitem")
+    middle = counted(rows, ["l_linestatus"], "l_quantity").groupBy("l_linestatus").agg(F.round(percentile("l_quantity", 0.5), 6).alias("mediane"))
+    return rows.groupBy("l_linestatus").agg(F.count("*").alias("n"), F.round(F.avg("l_quantity"), 6).alias("moyenne"), F.round(F.stddev_samp("l_quantity"), 6).alias("ecart"), F.min("l_quantity").alias("mini"), F.max("l_quantity").alias("maxi")).join(middle, "l_linestatus")
 
 
 def q_centroid_anchors(s, d):

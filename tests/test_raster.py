@@ -8,7 +8,7 @@ def _brute(mask, k, all_):
     h, w = mask.shape
     for y in range(h):
         for x in range(w):
-            cells = [mask[a, b] if 0 <= a < h and 0 <= b < w else False for a in range(y - k, y + k + 1) for b in range(x - k, x + k + 1)]
+            cells = [mask[a, b] for a in range(y - k, y + k + 1) for b in range(x - k, x + k + 1) if 0 <= a < h and 0 <= b < w]
             out[y, x] = all(cells) if all_ else any(cells)
     return out
 
@@ -43,7 +43,22 @@ def test_bands_gutters_and_profiles():
     assert R.ink_bands(m, 0) == [(2, 8)] and R.fill_ratio(m[:3]) == 1.0 and R.fill_ratio(m[:1]) == 0.0
     assert R.regularity([10, 10, 11, 30]) == 2.5 and R.regularity([]) == 0.0
     assert R.harmonic(np.ones(16)) == 0.0 and R.harmonic(np.zeros(0)) == 0.0
-    assert R.safe_erode(m, 5)[1] in (0, 1) and R.radial_profile(np.zeros((2, 2), bool)).sum() == 0
+    assert R.radial_profile(np.zeros((2, 2), bool)).sum() == 0
+    full = np.ones((20, 20), bool)
+    assert R.safe_erode(full, 5)[1] == 5 and R.erode(full, 5).all()  # the edge of the mask takes nothing away
+    bar = np.zeros((20, 20), bool)
+    bar[6:11, 2:18] = True
+    assert R.safe_erode(bar, 3)[1] == 2 and R.safe_erode(bar & False, 3)[1] == 0
+
+
+def test_profile_of_ovals_and_stars():
+    yy, xx = np.mgrid[0:200, 0:320]
+    oval = ((yy - 100) / 80) ** 2 + ((xx - 160) / 150) ** 2 <= 1
+    assert R.radial_profile(oval).std() < 0.02 and R.harmonic(R.radial_profile(oval)) < 0.02
+    star = np.hypot(yy - 100, xx - 160) <= 70 + 15 * np.cos(12 * np.arctan2(yy - 100, xx - 160))
+    assert R.harmonic(R.radial_profile(star)) > 0.1 > 10 * R.harmonic(R.radial_profile(oval))
+    ring = R.radial_profile(oval & ((yy < 90) | (yy > 110)))
+    assert len(ring) == 120 and (ring > 0).all()  # sectors without cells have the median
 
 
 def test_diffusion_stays_between_its_edges():
