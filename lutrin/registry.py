@@ -11,6 +11,9 @@ _MODULES: tuple[str, ...] = (
     "lutrin.operators.sequences",
     "lutrin.operators.entities",
     "lutrin.operators.glossary",
+    "lutrin.operators.marks",
+    "lutrin.operators.planning",
+    "lutrin.operators.layout",
     "lutrin.operators.spatial",
     "lutrin.operators.cleaning",
     "lutrin.operators.raster",
