@@ -1,8 +1,9 @@
 """Problem 2: link the entries of one work that stand for the same character.
 
 Method: a symmetric-delete neighbourhood index over the distinct tokens of a work's names (and of its source
-spellings) finds those within one edit, from seven letters on within two; entries that hold equal or neighbouring
-tokens are candidates.  A candidate pair's tokens, however many, are aligned by optimal assignment, in which a token
+spellings) finds those within one edit; entries that hold equal or neighbouring tokens are candidates.  A token two
+edits away counts only beside an equal one (``name_score``), which makes the pair a candidate by itself, so one
+deletion is enough.  A candidate pair's tokens, however many, are aligned by optimal assignment, in which a token
 may be misspelt, reduced to its initial, abbreviated, or a nickname, and titles count for nothing.  Source
 spellings are compared in their consistent form (problem 6).  Sure pairs form cores (connected components by
 label propagation); an entry with no sure pair joins the one core it fits best,
@@ -128,20 +129,19 @@ def kana_sound(term: str) -> str:
 
 
 def deletes(token: str) -> set[str]:
-    """The token and what is left after losing any one character, of seven and more any two."""
-    out = {token}
-    for _ in range(0 if len(token) < 4 else 1 if len(token) < 7 else 2):
-        out |= {t[:i] + t[i + 1 :] for t in out for i in range(len(t))}
-    return out
+    """The token and what is left after losing any one character."""
+    return {token} | {token[:i] + token[i + 1 :] for i in range(len(token))} if len(token) > 3 else {token}
 
 
 def anchors_of(e: dict) -> set[str]:
-    """What an entry is found by: tokens (``t``), names of one token (``m``), source spellings (``s``, whole ``w``)."""
+    """What an entry is found by: tokens (``t``), names of one token (``m``), first tokens of others (``v``), source spellings (``s``, whole ``w``)."""
     out: set[str] = set()
     for tokens, _ in e["f"]:
-        out |= {"t" + t for t in tokens if len(t) > 2}
-        if len(tokens) == 1 and len(tokens[0]) > 2:
+        out |= {"t" + t for t in tokens if len(t) > 2 or len(tokens) == 1}
+        if len(tokens) == 1:
             out.add("m" + tokens[0])
+        else:
+            out.add("v" + tokens[0])
     for parts in e["s"]:
         out |= {"w" + "".join(parts)} | {"s" + p for p in parts}
     return out | {"w" + p for p in e["p"]}
@@ -152,11 +152,15 @@ def keys_of(anchor: str) -> set[str]:
     kind, t = anchor[0], anchor[1:]
     if kind == "t":
         keys = {"t" + d for d in deletes(t)} | {"n" + t[:k] for k in (2, 3, 4) if len(t) > k}
-        return keys | {"p" + d for d in deletes(sound(t))} if len(t) > 3 else keys
+        return keys | {"p" + sound(t)} if len(t) > 3 else keys
+    # a short form (capital) meets the long forms (small) of its stem: N the tokens of any name, O names of one token
+    short = {t[:k] for k in (2, 3, 4) if len(t) > k and _NICK.fullmatch(t[k:])} | {t[:4]}
     if kind == "m":
-        return {"N" + t[:k] for k in (2, 3, 4) if len(t) > k and _NICK.fullmatch(t[k:])}
+        return {"N" + x for x in short} | {"o" + t[:k] for k in (2, 3, 4) if len(t) > k}
+    if kind == "v":
+        return {"O" + x for x in short} | ({"n" + t} if len(t) < 3 else set())
     if kind == "w":
-        return {"s" + d for d in ({t} | {t[:i] + t[i + 1 :] for i in range(len(t))} if len(t) > 3 else {t})} | {"q" + kana_sound(t)}
+        return {"s" + d for d in deletes(t)} | {"q" + kana_sound(t)}
     return {"s" + t}
 
 
@@ -164,7 +168,7 @@ def neighbours(a: str, b: str) -> bool:
     """Are two anchors that share a key spellings of one thing?"""
     if a[0] in "sw":
         return True
-    return token_score(a[1:], b[1:]) > (0 if "m" in (a[0], b[0]) else 0.6)
+    return token_score(a[1:], b[1:]) > (0.8 if a[0] == b[0] == "t" else 0)
 
 
 @lru_cache(maxsize=50_000)
@@ -393,10 +397,10 @@ def candidates(same: DataFrame) -> DataFrame:
     anchors = held.groupBy("k").agg(F.min("oeuvre").alias("oeuvre"), F.min("anchor").alias("anchor"), F.ceil(F.count("*") / PART).cast("int").alias("parts"))
     anchors = materialise(spread(anchors).mapInArrow(_keys, "k bigint, oeuvre string, anchor string, parts int, keys array<string>"))
     keyed = anchors.select("k", "oeuvre", "anchor", "parts", F.explode("keys").alias("key"))
-    # a nickname (N) meets the long forms (n) of its stem, other keys meet their like
-    meets = F.when(F.col("key").startswith("N"), F.concat(F.lit("n"), F.substring("key", 2, 99))).otherwise(F.col("key"))
-    x = keyed.where("key NOT LIKE 'n%'").select("k", "anchor", "parts", F.xxhash64("oeuvre", meets).alias("j"), (~F.col("key").startswith("N")).alias("twice"))
-    y = keyed.where("key NOT LIKE 'N%'").select("k", "anchor", "parts", F.xxhash64("oeuvre", "key").alias("j"))
+    form = F.substring("key", 1, 1)
+    meets = F.when(form.isin("N", "O"), F.concat(F.lower(form), F.substring("key", 2, 99))).otherwise(F.col("key"))
+    x = keyed.where(~form.isin("n", "o")).select("k", "anchor", "parts", F.xxhash64("oeuvre", meets).alias("j"), (~form.isin("N", "O")).alias("twice"))
+    y = keyed.where(~form.isin("N", "O")).select("k", "anchor", "parts", F.xxhash64("oeuvre", "key").alias("j"))
     met = x.alias("x").join(y.alias("y"), (F.col("x.j") == F.col("y.j")) & ((F.col("x.k") < F.col("y.k")) | (~F.col("x.twice") & (F.col("x.k") != F.col("y.k")))))
     met = met.groupBy(F.col("x.k").alias("ka"), F.col("y.k").alias("kb")).agg(F.min("x.anchor").alias("va"), F.min("y.anchor").alias("vb"), F.min("x.parts").alias("pa"), F.min("y.parts").alias("pb"))
     near = met.mapInArrow(_near, "ka bigint, kb bigint, va string, vb string, pa int, pb int").select("ka", "kb", "pa", "pb")
