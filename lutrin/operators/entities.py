@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lutrin.functions import text as T
+from lutrin.operators.glossary import within_edits
 from lutrin.operators.profiling import key_sql
-from lutrin.session import spread, table
+from lutrin.plans.stages import EDGES
+from lutrin.session import materialise, spread, table
 
 #: Signs of a source spelling that are joined on; buckets of the broadcast set of such beginnings, which only saves work.
 _GRAM, _BUCKETS = 3, 1 << 20
@@ -42,7 +44,7 @@ def _people(s: SparkSession, d: str) -> DataFrame:
 
 def q_entity_upsert(s, d):
     """Entries of the second half of the volumes into those of the first, per normalised name."""
-    p = _people(s, d).where("nom IS NOT NULL").withColumn("late", F.substring("tome", 5, 4).try_cast("int") > 4)
+    p = _people(s, d).where("nom IS NOT NULL").withColumn("late", F.coalesce(F.substring("tome", 5, 4).try_cast("int") > 4, F.lit(False)))
     return upsert(p.where("NOT late"), p.where("late"), "nom", ["genre", "role_recit"], "entree_id")
 
 
@@ -66,23 +68,44 @@ def q_capitalised_candidates(s, d):
 
 def q_drift_volume(s, d):
     """Candidates for drift: rare words within the edit budget of a frequent one of the same work, that is
-    three times as frequent; plurals are no drift.  Blocks: both share their first and last letters or one of
-    the halves, as any word within one edit does."""
+    three times as frequent; plurals are no drift.  Neighbourhoods of deletions, complete for the budget, find them."""
     words = table(s, d, "bulles").where("langue_cible = 'fr' AND traduction IS NOT NULL AND oeuvre IS NOT NULL").select("oeuvre", F.explode(F.regexp_extract_all(F.translate("traduction", T._ACCENTED, T._PLAIN), F.lit(r"[a-z,] ([A-Z][a-z]{4,})"), F.lit(1))).alias("mot"))
-    n = words.groupBy("oeuvre", "mot").agg(F.count("*").alias("n"))
-    half = lambda c: F.array(F.concat(F.lit("a"), F.substring(c, 1, 3)), F.concat(F.lit("z"), F.right(F.col(c), F.lit(3))))
-    a = n.where("n >= 5").select("oeuvre", F.col("mot").alias("nom"), F.col("n").alias("na"), F.explode(half("mot")).alias("k"))
-    b = n.select("oeuvre", F.col("mot").alias("candidat"), F.col("n").alias("nb"), F.explode(half("mot")).alias("k"))
-    budget = F.when(F.length("nom") <= 7, 1).otherwise(2)
-    j = a.join(b, ["oeuvre", "k"]).where("nom <> candidat AND na >= 3 * nb").select("oeuvre", "nom", "candidat", "na", "nb").distinct()
-    return j.where((F.levenshtein(F.lower("nom"), F.lower("candidat")) <= budget) & ~F.col("candidat").isin(F.concat("nom", F.lit("s")), F.concat("nom", F.lit("x"))))
+    n = materialise(words.groupBy("oeuvre", "mot").agg(F.count("*").alias("n")))
+    near = within_edits(n.where("n >= 5").select("oeuvre", F.col("mot").alias("nom"), F.col("n").alias("na")), n.select("oeuvre", F.col("mot").alias("candidat"), F.col("n").alias("nb")), "oeuvre", "nom", "candidat")
+    return near.where("na >= 3 * nb").where(~F.col("candidat").isin(F.concat("nom", F.lit("s")), F.concat("nom", F.lit("x")))).select("oeuvre", "nom", "candidat", "na", "nb")
+
+
+def forced_forms(entries: DataFrame) -> DataFrame:
+    """``oeuvre, ban, nom``: every banned or variant form, of one word or several, and the name that replaces it."""
+    none = F.array().cast("array<string>")
+    bans = entries.where("oeuvre IS NOT NULL AND nom IS NOT NULL AND trim(nom) <> ''").select("oeuvre", "nom", F.explode(F.array_distinct(F.concat(F.coalesce("interdits", none), F.coalesce("variantes", none)))).alias("ban"))
+    return bans.where(F.col("ban").rlike(r"\p{L}") & (F.col("ban") != F.col("nom"))).groupBy("oeuvre", "ban").agg(F.min("nom").alias("nom"))
+
+
+def replaced(bubbles: DataFrame, entries: DataFrame) -> DataFrame:
+    """``bulle_id, texte, formes``: bubbles with a forced form, all forms replaced as whole words, the longest first.
+
+    Forms meet bubbles by work and first word, as hashes; the whole form is looked for after.
+    """
+    word = lambda c: F.regexp_extract(c, r"(\p{L}+)", 1)
+    bans = forced_forms(entries).withColumn("k", F.xxhash64("oeuvre", word("ban")))
+    rows = bubbles.where("traduction IS NOT NULL AND oeuvre IS NOT NULL").select("bulle_id", "oeuvre", "traduction")
+    seen = rows.select("*", F.explode(F.array_distinct(F.regexp_extract_all("traduction", F.lit(r"(\p{L}+)"), F.lit(1)))).alias("mot")).withColumn("k", F.xxhash64("oeuvre", "mot")).withColumnRenamed("oeuvre", "o")
+    found = seen.join(bans, "k").where((F.col("o") == F.col("oeuvre")) & F.regexp_like("traduction", whole("ban")))
+    each = found.groupBy("bulle_id", "oeuvre", "traduction").agg(F.sort_array(F.collect_set(F.struct(F.negative(F.length("ban")).alias("n"), "ban", "nom"))).alias("formes"))
+    text = F.aggregate("formes", F.col("traduction"), lambda t, x: F.regexp_replace(t, F.concat(F.lit(r"(?<!\p{L})\Q"), x["ban"], F.lit(r"\E(?!\p{L})")), x["nom"]))
+    return each.select("bulle_id", "oeuvre", text.alias("texte"), "formes")
+
+
+def whole(form: str) -> Column:
+    """Pattern of a form that stands between other signs than letters."""
+    return F.concat(F.lit(r"(?:^|[^\p{L}])\Q"), F.col(form), F.lit(r"\E(?:$|[^\p{L}])"))
 
 
 def q_forced_replace(s, d):
-    """Banned and variant spellings replaced by the name: how many bubbles of the work a whole-word replacement changes."""
-    bans = _people(s, d).where("oeuvre IS NOT NULL AND nom IS NOT NULL AND trim(nom) <> ''").select("oeuvre", "nom", F.explode(F.array_distinct(F.concat(F.coalesce("interdits", F.array().cast("array<string>")), F.coalesce("variantes", F.array().cast("array<string>"))))).alias("ban")).where(F.col("ban").rlike(r"^[\p{L}]+$") & (F.col("ban") != F.col("nom"))).groupBy("oeuvre", "ban").agg(F.min("nom").alias("nom"))
-    words = table(s, d, "bulles").where("traduction IS NOT NULL AND oeuvre IS NOT NULL").select("bulle_id", "oeuvre", F.explode(F.array_distinct(F.regexp_extract_all("traduction", F.lit(r"(\p{L}+)"), F.lit(1)))).alias("ban"))
-    return words.join(bans, ["oeuvre", "ban"]).groupBy("oeuvre", "ban", "nom").agg(F.count("*").alias("bulles"))
+    """Banned and variant spellings replaced by the name: how many bubbles of the work each whole form stands in."""
+    out = replaced(table(s, d, "bulles"), _people(s, d)).select("oeuvre", F.explode("formes").alias("x"))
+    return out.select("oeuvre", "x.ban", "x.nom").groupBy("oeuvre", "ban", "nom").agg(F.count("*").alias("bulles"))
 
 
 def q_missing_terms(s, d):
@@ -168,16 +191,23 @@ def q_stale_reasons(s, d):
 
 
 def q_stage_closure(s, d):
-    """Everything that depends on a stage, directly or not, from the table of direct dependants."""
-    return s.sql(_CLOSURE)
-
-
-def q_search_excerpt(s, d):
-    """The first hit of a needle in each document (any case, any accent), with what stands around it."""
-    needle = "lanterne"
+    """Everything that depends on a stage, directly or not, and by how many ways: the table of direct dependants joined
+    with itself until no way is longer."""
+    edges = s.createDataFrame(list(EDGES), "a string, b string")
+    ways = out = edges.withColumn("n", F.lit(1).cast("bigint"))
+    for _ in range(len(EDGES)):
+        longer = ways.join(edges.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").groupBy("a", F.col("c").alias("b")).agg(F.sum("n").alias("n"))
+        if longer.isEmpty():
+            break
+        ways, out = longer, out.unionByName(longer)
+    return out.groupBy(F.col("a").alias("etape"), F.col("b").alias("dependante")).agg(F.sum("n").alias("chemins"))
+
+
+def q_search_excerpt(s, d, needle: str = "lanterne", most: int = 500):
+    """The first hit of a needle in each document (any case, any accent), with what stands around it: the first ``most``."""
     folded = T.strip_accents(F.lower("text"))
     rows = table(s, d, "documents").where("text IS NOT NULL").select("doc_id", "text", F.instr(folded, needle).alias("ou")).where("ou > 0")
-    return rows.select("doc_id", "ou", T.excerpt("text", F.col("ou"), len(needle)).alias("extrait")).orderBy("doc_id").limit(500)
+    return rows.select("doc_id", "ou", T.excerpt("text", F.col("ou"), len(needle)).alias("extrait")).orderBy("doc_id").limit(most)
 
 
 def q_numbered_parse(s, d):
@@ -210,12 +240,12 @@ _A, _P = T._ACCENTED, T._PLAIN
 _L = "WITH l AS (SELECT doc_id, genre, unnest(string_split(text, chr(10))) AS ligne, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents WHERE text IS NOT NULL)"
 _FOLD = f"translate(lower(text), '{_A}', '{_P}')"
 SQL = {
-    "entity_upsert": f"WITH p AS (SELECT {key_sql('nom')} AS k, entree_id, nullif(trim(genre, ' '), '') AS genre, nullif(trim(role_recit, ' '), '') AS role_recit, try_cast(substring(tome, 5, 4) AS INT) > 4 AS late FROM personnages WHERE nom IS NOT NULL), o AS (SELECT k, arg_min(genre, entree_id) FILTER (genre IS NOT NULL) AS g, arg_min(role_recit, entree_id) FILTER (role_recit IS NOT NULL) AS r FROM p WHERE k <> '' AND NOT late GROUP BY k), n AS (SELECT k, arg_min(genre, entree_id) FILTER (genre IS NOT NULL) AS g, arg_min(role_recit, entree_id) FILTER (role_recit IS NOT NULL) AS r FROM p WHERE k <> '' AND late GROUP BY k) SELECT coalesce(o.k, n.k) AS cle, coalesce(o.g, n.g) AS genre, coalesce(o.r, n.r) AS role_recit, CASE WHEN o.k IS NULL THEN 'ajout' WHEN n.k IS NULL THEN 'inchange' WHEN coalesce(o.g <> n.g, false) OR coalesce(o.r <> n.r, false) THEN 'conflit' ELSE 'fusion' END AS etat FROM o FULL JOIN n ON o.k = n.k",
+    "entity_upsert": f"WITH p AS (SELECT {key_sql('nom')} AS k, entree_id, nullif(trim(genre, ' '), '') AS genre, nullif(trim(role_recit, ' '), '') AS role_recit, coalesce(try_cast(substring(tome, 5, 4) AS INT) > 4, false) AS late FROM personnages WHERE nom IS NOT NULL), o AS (SELECT k, arg_min(genre, entree_id) FILTER (genre IS NOT NULL) AS g, arg_min(role_recit, entree_id) FILTER (role_recit IS NOT NULL) AS r FROM p WHERE k <> '' AND NOT late GROUP BY k), n AS (SELECT k, arg_min(genre, entree_id) FILTER (genre IS NOT NULL) AS g, arg_min(role_recit, entree_id) FILTER (role_recit IS NOT NULL) AS r FROM p WHERE k <> '' AND late GROUP BY k) SELECT coalesce(o.k, n.k) AS cle, coalesce(o.g, n.g) AS genre, coalesce(o.r, n.r) AS role_recit, CASE WHEN o.k IS NULL THEN 'ajout' WHEN n.k IS NULL THEN 'inchange' WHEN coalesce(o.g <> n.g, false) OR coalesce(o.r <> n.r, false) THEN 'conflit' ELSE 'fusion' END AS etat FROM o FULL JOIN n ON o.k = n.k",
     "alias_index": f"WITH f AS (SELECT entree_id, oeuvre, unnest(list_concat([nom], coalesce(variantes, []), coalesce(termes_source, []))) AS forme FROM personnages WHERE oeuvre IS NOT NULL), k AS (SELECT entree_id, oeuvre, {key_sql('forme')} AS cle FROM f) SELECT oeuvre, cle, min(entree_id) AS entree, count(DISTINCT entree_id) AS entrees FROM k WHERE cle IS NOT NULL AND cle <> '' GROUP BY 1, 2",
     "known_forms": "SELECT oeuvre, count(DISTINCT lower(trim(f, ' '))) AS formes FROM (SELECT oeuvre, unnest(list_concat([nom, pluriel], coalesce(variantes, []), coalesce(interdits, []))) AS f FROM personnages) WHERE f IS NOT NULL AND trim(f, ' ') <> '' GROUP BY 1",
     "capitalised_candidates": r"SELECT mot, count(*) AS n, count(DISTINCT doc_id) AS documents FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[\p{Ll},] (\p{Lu}[\p{L}-]{4,})', 1)) AS mot FROM documents WHERE text IS NOT NULL AND lower(lang) LIKE 'fr%') GROUP BY 1 HAVING count(*) >= 3",
-    "drift_volume": f"WITH w AS (SELECT oeuvre, unnest(regexp_extract_all(translate(traduction, '{_A}', '{_P}'), '[a-z,] ([A-Z][a-z]{{4,}})', 1)) AS mot FROM bulles WHERE langue_cible = 'fr' AND traduction IS NOT NULL AND oeuvre IS NOT NULL), n AS (SELECT oeuvre, mot, count(*) AS n FROM w GROUP BY 1, 2) SELECT a.oeuvre, a.mot AS nom, b.mot AS candidat, a.n AS na, b.n AS nb FROM n a JOIN n b ON a.oeuvre = b.oeuvre AND a.mot <> b.mot AND a.n >= 5 AND a.n >= 3 * b.n AND (left(a.mot, 3) = left(b.mot, 3) OR right(a.mot, 3) = right(b.mot, 3)) AND levenshtein(lower(a.mot), lower(b.mot)) <= CASE WHEN length(a.mot) <= 7 THEN 1 ELSE 2 END AND b.mot NOT IN (a.mot || 's', a.mot || 'x')",
-    "forced_replace": r"WITH b AS (SELECT oeuvre, ban, min(nom) AS nom FROM (SELECT oeuvre, nom, unnest(list_distinct(list_concat(coalesce(interdits, []), coalesce(variantes, [])))) AS ban FROM personnages WHERE oeuvre IS NOT NULL AND nom IS NOT NULL AND trim(nom, ' ') <> '') WHERE regexp_matches(ban, '^\p{L}+$') AND ban <> nom GROUP BY 1, 2), w AS (SELECT bulle_id, oeuvre, unnest(list_distinct(regexp_extract_all(traduction, '(\p{L}+)', 1))) AS ban FROM bulles WHERE traduction IS NOT NULL AND oeuvre IS NOT NULL) SELECT oeuvre, ban, nom, count(*) AS bulles FROM w JOIN b USING (oeuvre, ban) GROUP BY ALL",
+    "drift_volume": f"WITH w AS (SELECT oeuvre, unnest(regexp_extract_all(translate(traduction, '{_A}', '{_P}'), '[a-z,] ([A-Z][a-z]{{4,}})', 1)) AS mot FROM bulles WHERE langue_cible = 'fr' AND traduction IS NOT NULL AND oeuvre IS NOT NULL), n AS (SELECT oeuvre, mot, count(*) AS n FROM w GROUP BY 1, 2) SELECT a.oeuvre, a.mot AS nom, b.mot AS candidat, a.n AS na, b.n AS nb FROM n a JOIN n b ON a.oeuvre = b.oeuvre AND a.mot <> b.mot AND a.n >= 5 AND a.n >= 3 * b.n AND levenshtein(lower(a.mot), lower(b.mot)) <= CASE WHEN length(a.mot) <= 7 THEN 1 ELSE 2 END AND b.mot NOT IN (a.mot || 's', a.mot || 'x')",
+    "forced_replace": r"WITH b AS (SELECT oeuvre, ban, min(nom) AS nom FROM (SELECT oeuvre, nom, unnest(list_distinct(list_concat(coalesce(interdits, []), coalesce(variantes, [])))) AS ban FROM personnages WHERE oeuvre IS NOT NULL AND nom IS NOT NULL AND trim(nom, ' ') <> '') WHERE regexp_matches(ban, '\p{L}') AND ban <> nom GROUP BY 1, 2) SELECT b.oeuvre, ban, nom, count(*) AS bulles FROM bulles t JOIN b ON t.oeuvre = b.oeuvre AND instr(traduction, ban) > 0 AND regexp_matches(traduction, '(?:^|[^\p{L}])\Q' || ban || '\E(?:$|[^\p{L}])') GROUP BY ALL",
     "missing_terms": r"WITH t AS (SELECT oeuvre, terme, min(nom) AS nom FROM (SELECT oeuvre, nom, unnest(termes_source) AS terme FROM personnages WHERE oeuvre IS NOT NULL AND nom IS NOT NULL AND trim(nom, ' ') <> '') WHERE length(terme) >= 4 AND terme NOT LIKE '%・%' GROUP BY 1, 2), w AS (SELECT bulle_id, oeuvre, traduction, unnest(list_distinct(regexp_extract_all(ocr, '([ァ-ヺー]+)', 1))) AS terme FROM bulles WHERE langue_source = 'ja' AND ocr IS NOT NULL AND traduction IS NOT NULL AND oeuvre IS NOT NULL) SELECT oeuvre, terme, count(*) AS bulles FROM w JOIN t USING (oeuvre, terme) WHERE regexp_extract(nom, '^(\p{L}+)', 1) <> '' AND instr(lower(traduction), lower(regexp_extract(nom, '^(\p{L}+)', 1))) = 0 GROUP BY 1, 2",
     "lost_terms": r"WITH e AS (SELECT entree_id, oeuvre, regexp_replace(nom, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS nom, list_filter(termes_source, lambda t: regexp_matches(t, '[^\s\p{Z}]')) AS termes, list_filter(list_concat([nom, pluriel], coalesce(variantes, [])), lambda f: regexp_matches(f, '[^\s\p{Z}]')) AS formes FROM personnages), h AS (SELECT bulle_id, entree_id, list_filter(termes, lambda t: instr(ocr, t) > 0)[1] AS terme, nom, list_filter(formes, lambda f: instr(lower(traduction), lower(regexp_replace(f, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'))) > 0) AS la FROM bulles JOIN e USING (oeuvre) WHERE length(nom) >= 5 AND regexp_matches(ocr, '[^\s\p{Z}]') AND regexp_matches(traduction, '[^\s\p{Z}]')) SELECT bulle_id, entree_id, terme, nom FROM h WHERE terme IS NOT NULL AND len(la) = 0",
     "gender_evidence": r"WITH x AS (SELECT unnest(regexp_extract_all(lower(text), '((?:le|la|un|une) \p{L}{4,})', 1)) AS x FROM documents WHERE text IS NOT NULL AND lower(lang) LIKE 'fr%'), y AS (SELECT split_part(x, ' ', 2) AS mot, count(*) FILTER (split_part(x, ' ', 1) IN ('le', 'un')) AS m, count(*) FILTER (split_part(x, ' ', 1) IN ('la', 'une')) AS f FROM x GROUP BY 1) SELECT mot, m, f, CASE WHEN m - f >= 2 THEN 'm' WHEN f - m >= 2 THEN 'f' END AS genre FROM y WHERE m + f >= 2",
