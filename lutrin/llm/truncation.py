@@ -34,6 +34,8 @@ from lutrin.session import materialise, spread, table
 
 #: Largest number of intact values per field and language from which positives are made.
 SAMPLE = 4_000
+#: Largest number of pairs of field and languages the sample is taken from, the commonest.
+PAIRS = 64
 #: Largest number of different limits at which the sample is cut.
 KINDS = 16
 BITS = 16
@@ -212,7 +214,7 @@ def fit_cutter(rows: DataFrame, limits: DataFrame, sample: int = SAMPLE) -> Cutt
     """Fit on about ``sample`` values per field and language pair, those with the smallest hashed keys, each cut
     at the limit of its own or a neighbouring source; hashed features, not texts, reach the driver."""
     full = rows.where("texte IS NOT NULL AND trim(texte) <> ''").select("champ", F.coalesce("paire", F.lit("")).alias("paire"), "texte", "ocr", F.shiftrightunsigned(F.xxhash64("cle", F.lit(3)), 1).alias("h"))
-    sizes = full.groupBy("champ", "paire").agg(F.count("*").alias("n"))
+    sizes = full.groupBy("champ", "paire").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "champ", "paire").limit(PAIRS)
     few = full.join(F.broadcast(sizes), ["champ", "paire"]).where(F.col("h") / F.lit(float(1 << 63)) < F.lit(float(sample)) / F.col("n")).select("champ", "paire", "texte", "ocr", "h")
     # Cuts are made at the commonest limits: at most ``KINDS`` of them, in characters and in bytes.
     kinds = limits.where("lim_c IS NOT NULL OR lim_o IS NOT NULL").groupBy("lim_c", "lim_o").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lim_c", "lim_o").limit(KINDS).collect()

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 from lutrin.llm import alignment as A
 
@@ -73,6 +74,26 @@ def test_pairs_far_apart_in_a_long_unit(spark):
     assert len(got & true) >= 0.9 * len(true), len(got & true) / len(true)
 
 
+def test_units_joined_into_one_with_one_side_in_reverse_order(spark):
+    """A unit of over 400 lines a side whose blocks stand in reverse order on one side keeps its pairs."""
+    rows, true = _units(160, 31)
+    merged = {f"u{k}" for k in range(40)}
+    place = {u: k for k, u in enumerate(sorted(merged))}
+    out = []
+    for key, unit, side, rank, text, x in rows:
+        if unit in merged:
+            block = place[unit] if side == "en" else len(merged) - place[unit]
+            out.append((key, "long", side, block * 100 + rank, text, x))
+        else:
+            out.append((key, unit, side, rank, text, x))
+    text = {r[0]: r[4] for r in out if r[1] == "long"}
+    times = Counter(text.values())
+    # a sentence that stands in several places has several right renderings: only the others tell
+    want = {p for p in true if p[0] in text and times[text[p[0]]] == 1}
+    got = {(r.passage_a, r.passage_b) for r in A.aligned_lines(spark.createDataFrame(out, SCHEMA)).collect()}
+    assert len(text) > 800 and len(want) > 250 and len(got & want) >= 0.95 * len(want), len(got & want) / len(want)
+
+
 def test_empty_table(spark):
     assert A.aligned_lines(spark.createDataFrame([], SCHEMA)).count() == 0
 
