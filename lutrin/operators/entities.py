@@ -245,7 +245,7 @@ SQL = {
     "known_forms": "SELECT oeuvre, count(DISTINCT lower(trim(f, ' '))) AS formes FROM (SELECT oeuvre, unnest(list_concat([nom, pluriel], coalesce(variantes, []), coalesce(interdits, []))) AS f FROM personnages) WHERE f IS NOT NULL AND trim(f, ' ') <> '' GROUP BY 1",
     "capitalised_candidates": r"SELECT mot, count(*) AS n, count(DISTINCT doc_id) AS documents FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[\p{Ll},] (\p{Lu}[\p{L}-]{4,})', 1)) AS mot FROM documents WHERE text IS NOT NULL AND lower(lang) LIKE 'fr%') GROUP BY 1 HAVING count(*) >= 3",
     "drift_volume": f"WITH w AS (SELECT oeuvre, unnest(regexp_extract_all(translate(traduction, '{_A}', '{_P}'), '[a-z,] ([A-Z][a-z]{{4,}})', 1)) AS mot FROM bulles WHERE langue_cible = 'fr' AND traduction IS NOT NULL AND oeuvre IS NOT NULL), n AS (SELECT oeuvre, mot, count(*) AS n FROM w GROUP BY 1, 2) SELECT a.oeuvre, a.mot AS nom, b.mot AS candidat, a.n AS na, b.n AS nb FROM n a JOIN n b ON a.oeuvre = b.oeuvre AND a.mot <> b.mot AND a.n >= 5 AND a.n >= 3 * b.n AND levenshtein(lower(a.mot), lower(b.mot)) <= CASE WHEN length(a.mot) <= 7 THEN 1 ELSE 2 END AND b.mot NOT IN (a.mot || 's', a.mot || 'x')",
-    "forced_replace": r"WITH b AS (SELECT oeuvre, ban, min(nom) AS nom FROM (SELECT oeuvre, nom, unnest(list_distinct(list_concat(coalesce(interdits, []), coalesce(variantes, [])))) AS ban FROM personnages WHERE oeuvre IS NOT NULL AND nom IS NOT NULL AND trim(nom, ' ') <> '') WHERE regexp_matches(ban, '\p{L}') AND ban <> nom GROUP BY 1, 2) SELECT b.oeuvre, ban, nom, count(*) AS bulles FROM bulles t JOIN b ON t.oeuvre = b.oeuvre AND instr(traduction, ban) > 0 AND regexp_matches(traduction, '(?:^|[^\p{L}])\Q' || ban || '\E(?:$|[^\p{L}])') GROUP BY ALL",
+    "forced_replace": r"WITH b AS (SELECT oeuvre, ban, min(nom) AS nom FROM (SELECT oeuvre, nom, unnest(list_distinct(list_concat(coalesce(interdits, []), coalesce(variantes, [])))) AS ban FROM personnages WHERE oeuvre IS NOT NULL AND nom IS NOT NULL AND trim(nom, ' ') <> '') WHERE regexp_matches(ban, '\p{L}') AND ban <> nom GROUP BY 1, 2) SELECT b.oeuvre, ban, nom, count(*) AS bulles FROM bulles t JOIN b ON t.oeuvre = b.oeuvre WHERE CASE WHEN instr(traduction, ban) > 0 THEN regexp_matches(traduction, '(?:^|[^\p{L}])\Q' || ban || '\E(?:$|[^\p{L}])') ELSE false END GROUP BY ALL",
     "missing_terms": r"WITH t AS (SELECT oeuvre, terme, min(nom) AS nom FROM (SELECT oeuvre, nom, unnest(termes_source) AS terme FROM personnages WHERE oeuvre IS NOT NULL AND nom IS NOT NULL AND trim(nom, ' ') <> '') WHERE length(terme) >= 4 AND terme NOT LIKE '%・%' GROUP BY 1, 2), w AS (SELECT bulle_id, oeuvre, traduction, unnest(list_distinct(regexp_extract_all(ocr, '([ァ-ヺー]+)', 1))) AS terme FROM bulles WHERE langue_source = 'ja' AND ocr IS NOT NULL AND traduction IS NOT NULL AND oeuvre IS NOT NULL) SELECT oeuvre, terme, count(*) AS bulles FROM w JOIN t USING (oeuvre, terme) WHERE regexp_extract(nom, '^(\p{L}+)', 1) <> '' AND instr(lower(traduction), lower(regexp_extract(nom, '^(\p{L}+)', 1))) = 0 GROUP BY 1, 2",
     "lost_terms": r"WITH e AS (SELECT entree_id, oeuvre, regexp_replace(nom, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS nom, list_filter(termes_source, lambda t: regexp_matches(t, '[^\s\p{Z}]')) AS termes, list_filter(list_concat([nom, pluriel], coalesce(variantes, [])), lambda f: regexp_matches(f, '[^\s\p{Z}]')) AS formes FROM personnages), h AS (SELECT bulle_id, entree_id, list_filter(termes, lambda t: instr(ocr, t) > 0)[1] AS terme, nom, list_filter(formes, lambda f: instr(lower(traduction), lower(regexp_replace(f, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'))) > 0) AS la FROM bulles JOIN e USING (oeuvre) WHERE length(nom) >= 5 AND regexp_matches(ocr, '[^\s\p{Z}]') AND regexp_matches(traduction, '[^\s\p{Z}]')) SELECT bulle_id, entree_id, terme, nom FROM h WHERE terme IS NOT NULL AND len(la) = 0",
     "gender_evidence": r"WITH x AS (SELECT unnest(regexp_extract_all(lower(text), '((?:le|la|un|une) \p{L}{4,})', 1)) AS x FROM documents WHERE text IS NOT NULL AND lower(lang) LIKE 'fr%'), y AS (SELECT split_part(x, ' ', 2) AS mot, count(*) FILTER (split_part(x, ' ', 1) IN ('le', 'un')) AS m, count(*) FILTER (split_part(x, ' ', 1) IN ('la', 'une')) AS f FROM x GROUP BY 1) SELECT mot, m, f, CASE WHEN m - f >= 2 THEN 'm' WHEN f - m >= 2 THEN 'f' END AS genre FROM y WHERE m + f >= 2",
