@@ -91,12 +91,13 @@ def deletions(word: Column, budget: int) -> Column:
 def within_edits(names: DataFrame, words: DataFrame, by: str, name: str, word: str) -> DataFrame:
     """Pairs of a name and another word of the same ``by`` within one edit, two from eight letters of the name on.
 
-    Neighbourhoods of deletions meet as hashes, which is complete for the budget; the distance decides.
+    Neighbourhoods of deletions meet as hashes, which is complete for the budget; the distance decides.  A word has tens
+    of them, which no estimate of a plan knows, so they are merged and never broadcast.
     """
     keys = lambda c, both: F.explode(F.transform(F.when(F.length(c) >= both, deletions(F.lower(c), 2)).otherwise(deletions(F.lower(c), 1)), lambda k: F.xxhash64(by, k)))
     a = names.withColumn("_k", keys(name, 8))
     b = words.withColumn("_k", keys(word, 6)).withColumnRenamed(by, "_by")
-    met = a.join(b, "_k").where(F.col(by) == F.col("_by")).drop("_k", "_by").distinct()
+    met = a.join(b.hint("merge"), "_k").where(F.col(by) == F.col("_by")).drop("_k", "_by").distinct()
     budget = F.when(F.length(name) <= 7, 1).otherwise(2)
     d = F.levenshtein(F.lower(name), F.lower(word))
     return met.where((d >= 1) & (d <= budget))

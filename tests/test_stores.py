@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lutrin.operators import glossary as G
 from lutrin.operators import layout as L
+from lutrin.plans.stages import plan_of
 from lutrin.sources import stores as S
 
 
@@ -98,6 +99,16 @@ def test_edit_neighbours_against_all_pairs(spark):
     assert got == want
 
 
+def test_edit_neighbours_are_not_broadcast(spark, tmp_path):
+    words = [("o", f"mot{c}{k}") for c in "abcdefgh" for k in range(1000, 1040)]
+    spark.createDataFrame(words, "oeuvre string, nom string").write.parquet(f"{tmp_path}/n")
+    n = spark.read.parquet(f"{tmp_path}/n")  # a small file whose neighbourhoods are not
+    near = G.within_edits(n, n.withColumnRenamed("nom", "mot"), "oeuvre", "nom", "mot")
+    assert near.count() > 0
+    near.collect()
+    assert "SortMergeJoin" in plan_of(near) and "Broadcast" not in plan_of(near)
+
+
 def test_greedy_matches_against_one_by_one(spark):
     rows = [("o", "v", 1, 1, 11, 0.9), ("o", "v", 1, 1, 12, 0.8), ("o", "v", 1, 2, 11, 0.85), ("o", "v", 1, 2, 12, 0.3), ("o", "v", 2, 3, 13, 0.5), ("o", "v", 2, 4, 13, 0.5)]
     df = spark.createDataFrame(rows, "oeuvre string, tome string, planche int, ancienne bigint, nouvelle bigint, iou double")
