@@ -1,6 +1,7 @@
 import numpy as np
 
 from lutrin.operators import raster as R
+from lutrin.plans.stages import plan_of
 
 
 def _brute(mask, k, all_):
@@ -67,3 +68,41 @@ def test_diffusion_stays_between_its_edges():
     hole[3:5, 3:5] = True
     out = R.diffuse(v, hole, 200)
     assert (out[~hole] == v[~hole]).all() and np.allclose(out[hole], v[hole], atol=1e-3)
+
+
+def _one(mask):
+    parts = R.components(mask)
+    eroded, depth = R.safe_erode(mask, 3)
+    return (float(mask.mean()), len(parts), R.fill_ratio(mask), len(R.ink_bands(mask, 1)), len(R.gutters(mask, 1)), depth, int(eroded.sum()), R.harmonic(R.radial_profile(parts[0])) if parts else 0.0)
+
+
+def test_stacks_of_masks_against_one_by_one():
+    rng = np.random.default_rng(4)
+    masks = np.zeros((90, R.GRID + 1, R.GRID + 1), bool)
+    for k, m in enumerate(masks[2:]):
+        m[: R.GRID, : R.GRID] = rng.random((R.GRID, R.GRID)) < (0.02, 0.4, 0.6, 0.97)[k % 4] if k < 50 else R.dilate(rng.random((R.GRID, R.GRID)) < 0.002, 4)
+    masks[1, : R.GRID, : R.GRID] = True
+    masks[2, : R.GRID, : R.GRID] = False
+    masks[2, : R.GRID : 2, : R.GRID] = masks[2, 1 : R.GRID - 1 : 4, R.GRID - 1] = masks[2, 3 : R.GRID - 1 : 4, 0] = True  # one winding part
+    assert len(R.components(masks[2])) == 1
+    for got, mask in zip(zip(*R.measures(masks)), masks[:, : R.GRID, : R.GRID]):
+        want = _one(mask)
+        assert got[:7] == want[:7] and abs(got[7] - want[7]) < 1e-12
+
+
+def test_page_masks_calls_python_per_stack_and_not_per_page(spark, tmp_path):
+    rows, rng = [], np.random.default_rng(3)
+    for page in range(700):
+        for _ in range(rng.integers(1, 9)):
+            x, y = (int(v) for v in rng.integers(-200, 1700, 2))
+            rows.append((len(rows), f"o{page % 3}", "v", page, x, y, x + int(rng.integers(1, 400)), y + int(rng.integers(1, 400)), 0.5, "ja"))
+    rows += [(len(rows), "o", "v", 1, 0, 0, 2**31 - 1, 2**31 - 1, 0.5, "ja"), (len(rows) + 1, "o", "v", 2, 9, 9, 9, 20, 0.5, "ja"), (len(rows) + 2, None, "v", 2, 0, 0, 9, 20, 0.5, "ja")]
+    spark.createDataFrame(rows + rows[:50], "bulle_id long, oeuvre string, tome string, planche int, x0 int, y0 int, x1 int, y1 int, score double, langue_source string").write.parquet(f"{tmp_path}/bulles.parquet")
+    out = R.q_page_masks(spark, str(tmp_path))
+    assert "FlatMapGroupsInPandas" not in plan_of(out)
+    got = {r[:3]: r[3:] for r in map(tuple, out.collect())}
+    pages = R.boxes(spark, str(tmp_path)).toPandas().groupby(R.PAGE)
+    assert len(got) == len(pages) == 701
+    for key, pdf in pages:
+        want = _one(R.draw(pdf))
+        assert got[key][:7] == want[:7] and abs(got[key][7] - want[7]) < 1e-12
