@@ -1,10 +1,10 @@
 """Problem 3: defective answers of prompt and response pairs, each with its kind of defect.
 
 Method: a response compressed with its prompt as a zstandard dictionary shrinks to almost nothing when it
-gives the prompt back (pairs with about as many letters that share half their words are tried).  Copies made of
-prompts, and answers that are none, fix two bounds on the compressed size: below the first is a copy, over the second
-is none, between them an exact check for one lost character breaks the tie; dictionaries of words per language, fitted on a bounded sample (``SAMPLE`` texts per language),
-tell the language of each sentence; dictionaries of refusal phrases tell refusals; the terminal-context
+gives the prompt back (pairs with about as many letters that share half their words are tried).  Copies, given and made
+of prompts, and answers that are none, fix two bounds on the compressed size: below the first is a copy, over the second
+is none, between them an exact check for one lost character breaks the tie; dictionaries of words per language, counted
+in all texts, tell the language of each sentence; dictionaries of refusal phrases tell refusals; the terminal-context
 model of problem 1 tells cut answers.  The first kind that applies is given: ``vide``, ``refus``,
 ``copie``, ``autre_langue``, ``tronquee``.
 
@@ -29,8 +29,9 @@ from pyspark.sql import functions as F
 from lutrin.llm import furniture
 from lutrin.session import materialise, spread, table
 
-#: Largest number of texts per language from which the word dictionaries are made.
-SAMPLE = 4_000
+#: Least share of all words that a word has in lower case, else it tells nothing of a language: with all texts counted
+#: nearly every name stands in lower case somewhere.  (Three times at least; so the dictionary has 33,333 words at most.)
+LOWER = 3e-5
 LANGUAGES = ("en", "fr", "es")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _WORDS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
@@ -39,7 +40,7 @@ _JA_WORDS = re.compile("[" + chr(0x3041) + "-" + chr(0x3096) + chr(0x4E00) + "-"
 _SENTENCE = re.compile(r"(?<=[.!?…。！？])[\s\"'»”」』]*(?=\S)")
 _NUMBER = re.compile(r"^\s*[\[(]?\d{1,3}\s*[.):\]-]\s*")
 _PLACEHOLDERS = frozenset(("null", "none", "nil", "nan", "na", "nd", "tbd", "todo", "vide", "empty", "blank", "vacio", "vacía", "vacío", "untranslated", "missing", "undefined", "sanstexte", "sansparole", "notext", "sintexto", "texteabsent", "textemanquant", "notranslation", "pasdetraduction", "sintraduccion", "sintraducción", "空", "空白", "なし", "無し", "翻訳なし", "テキストなし"))
-_LONGEST = 4 * max(map(len, _PLACEHOLDERS))
+_LONGEST = max(map(len, _PLACEHOLDERS))
 
 #: Refusals: what a translator says of its task, and the ways of saying no, in the languages met (lower case).
 _ALWAYS = (
@@ -72,10 +73,10 @@ def is_empty(text: str | None) -> bool:
     """No actual answer: nothing but blanks, signs, a line number or a placeholder."""
     if not text:
         return True
-    seen = 0
+    seen, longest = 0, _LONGEST if max(text) < "\u1100" else 4 * _LONGEST  # from there on, several letters may be one composed
     for m in _LETTERS.finditer(text):  # most values have more letters than any placeholder, soon
         seen += m.end() - m.start()
-        if seen > _LONGEST:
+        if seen > longest:
             return False
     body = _NUMBER.sub("", furniture.bare(text))
     core = "".join(_LETTERS.findall(unicodedata.normalize("NFKC", body))).casefold()
@@ -122,11 +123,14 @@ def extra(prompt: str, answer: str) -> int | None:
 
 def _may_copy(prompt: str, answer: str) -> bool:
     """Can the answer be the prompt?  Copies have about as many letters, and share script and words."""
-    p, a = "".join(_LETTERS.findall(prompt)), "".join(_LETTERS.findall(answer))
-    if abs(len(p) - len(a)) > 2 + len(p) // 8:
+    wide = not prompt.isascii() and _JA.search(prompt)
+    if wide and (answer.isascii() or not _JA.search(answer)):
         return False
-    if _JA.search(prompt):
-        return bool(_JA.search(answer))
+    p, a = sum(map(len, _LETTERS.findall(prompt))), sum(map(len, _LETTERS.findall(answer)))
+    if abs(p - a) > 2 + p // 8:
+        return False
+    if wide:
+        return True
     p, a = set(_LETTERS.findall(prompt.casefold())), set(_LETTERS.findall(answer.casefold()))
     return 2 * len(p & a) >= len(a) or len(a) <= 2
 
@@ -138,30 +142,39 @@ def _exactly(prompt: str, answer: str) -> bool:
 
 class Copies:
     """Copies by compressed size: at most ``sure`` extra bytes is a copy, over ``most`` is none; between, the
-    exact check decides.  The two bounds are fitted on made copies and on answers that are none."""
+    exact check decides.  The two bounds are fitted on copies, given and made, and on answers that are none."""
 
     def __init__(self, sure: int = -1, most: int = 24):
         self.sure, self.most = sure, most
 
     def fit(self, pairs: list[tuple[str, str]], seed: int = 3) -> "Copies":
-        """``most``: what the dearest copy made of a prompt (another case, a number before it, one character lost)
-        takes.  ``sure``: one less than the cheapest that is no copy takes (the pairs' answers, and prompts with a word
-        lost or doubled or a few characters lost)."""
+        """``most``: what the dearest copy takes (an answer that is one, or made of a prompt: another case, a number
+        before it, one character lost).  ``sure``: one less than the cheapest that is no copy takes (an answer, or a prompt
+        with a word lost or doubled or a few characters lost)."""
         rng, made, others = random.Random(seed), [], []
         for prompt, answer in pairs:
             k = rng.randrange(len(prompt))
             made += [x for t in (prompt.upper(), f"{k % 9 + 1}. {prompt}", prompt[:k] + prompt[k + 1 :]) if (x := extra(prompt, t)) is not None]
             words = prompt.split()
-            near = [answer, " ".join(words[:-1]), " ".join(words + words[-1:]), prompt[:k] + prompt[k + 3 :]]
+            near = [" ".join(words[:-1]), " ".join(words + words[-1:]), prompt[:k] + prompt[k + 3 :]]
             others += [x for t in near if not _exactly(prompt, t) and (x := extra(prompt, t)) is not None]
+            if (x := self.size(prompt, answer)) is not None:
+                (made if _exactly(prompt, answer) else others).append(x)
         self.most = max(made, default=self.most)
         self.sure = min(min(others, default=0) - 1, self.most)
         return self
 
+    @staticmethod
+    def size(prompt: str, answer: str) -> int | None:
+        """``extra`` of a pair, with or without the line numbers, whichever is less."""
+        if not (_NUMBER.match(answer) or _NUMBER.match(prompt)):
+            return extra(prompt, answer)
+        return min((x for a in (answer, _NUMBER.sub("", answer)) for p in (prompt, _NUMBER.sub("", prompt)) if (x := extra(p, a)) is not None), default=None)
+
     def found(self, prompt: str | None, answer: str | None) -> bool:
         if not prompt or not answer or not _may_copy(prompt, answer):
             return False
-        n = min((x for a in (answer, _NUMBER.sub("", answer)) for p in (prompt, _NUMBER.sub("", prompt)) if (x := extra(p, a)) is not None), default=None) if _NUMBER.match(answer) or _NUMBER.match(prompt) else extra(prompt, answer)
+        n = self.size(prompt, answer)
         return n is not None and n <= self.most and (n <= self.sure or _exactly(prompt, answer))
 
 
@@ -176,14 +189,15 @@ def is_refusal(answer: str) -> bool:
 
 
 class WordLanguages:
-    """Log-odds of words per language; names (never seen in lower case) and unknown words tell nothing."""
+    """Log-odds of words per language; names (hardly seen in lower case) and unknown words tell nothing."""
 
     def __init__(self, weights: dict[str, tuple[float, ...]] | None = None):
         self.weights = weights or {}
 
-    def fit(self, counts: dict[str, Counter], lower: Counter) -> "WordLanguages":
-        """A word's weight in a language is the log of its share there over its mean share elsewhere."""
-        totals = {k: sum(c.values()) + 1 for k, c in counts.items()}
+    def fit(self, counts: dict[str, Counter], lower: Counter, totals: dict[str, int] | None = None) -> "WordLanguages":
+        """A word's weight in a language is the log of its share there over its mean share elsewhere.  ``totals``: words
+        of each language, if ``counts`` leaves some out."""
+        totals = {k: n + 1 for k, n in (totals or {k: sum(c.values()) for k, c in counts.items()}).items()}
         words = set().union(*counts.values()) if counts else set()
         for w in words:
             rate = [(counts.get(k, Counter())[w] + 0.02) / (totals.get(k, 1) / 1e4 + 1) for k in LANGUAGES]
@@ -234,27 +248,42 @@ class WordLanguages:
         return len(words) > 3 or any(w.casefold() in self.weights and max(self.weights[w.casefold()]) > 1 for w in words)
 
 
-def fit_languages(bubbles: DataFrame, sample: int = SAMPLE) -> WordLanguages:
-    """From about ``sample`` texts per language, those with the smallest hashed keys (at most ``12 * sample``)."""
-    both = bubbles.select(F.col("langue_cible").alias("l"), F.col("traduction").alias("t"), F.xxhash64("bulle_id", F.lit(7)).alias("h")).unionByName(bubbles.select(F.col("langue_source").alias("l"), F.col("ocr").alias("t"), F.xxhash64("bulle_id", F.lit(8)).alias("h")))
-    both = both.where(F.col("l").isin(*LANGUAGES) & F.col("t").isNotNull()).withColumn("h", F.shiftrightunsigned("h", 1))
-    sizes = both.groupBy("l").agg(F.count("*").alias("n"))
-    few = both.join(F.broadcast(sizes), "l").where(F.col("h") / F.lit(float(1 << 63)) < F.lit(float(sample)) / F.col("n")).select("l", "t")
-    counts: dict[str, Counter] = {}
-    lower: Counter = Counter()
-    for r in few.limit(sample * 12).collect():
-        seen = _WORDS.findall(furniture.bare(r.t))
-        lower.update(w for w in seen if w[0].islower())
-        counts.setdefault(r.l, Counter()).update(w.casefold() for w in seen)
-    return WordLanguages().fit(counts, lower)
+def fit_languages(bubbles: DataFrame) -> WordLanguages:
+    """From the words of all texts; the driver takes those often enough (``LOWER``) in lower case."""
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            d, rows = b.to_pydict(), []
+            for k in LANGUAGES:
+                tokens = Counter(" ".join(y for l, t in (("langue_cible", "traduction"), ("langue_source", "ocr")) for x, y in zip(d[l], d[t]) if x == k and y).split())
+                seen: Counter = Counter()  # no word goes over a blank, so equal tokens are looked at once
+                for token, n in tokens.items():
+                    for w in _WORDS.findall(furniture.bare(token)):
+                        seen[w] += n
+                rows += [(k, w.casefold(), n, n if w[0].islower() else 0) for w, n in seen.items()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows) if rows else ((),) * 4, (pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["l", "mot", "n", "bas"])
+
+    seen = bubbles.select("langue_cible", "traduction", "langue_source", "ocr").mapInArrow(count, "l string, mot string, n bigint, bas bigint")
+    each = materialise(seen.groupBy("mot").agg(*(F.coalesce(F.sum(F.when(F.col("l") == k, F.col("n"))), F.lit(0)).alias(k) for k in LANGUAGES), F.sum("bas").alias("bas")))
+    totals = each.agg(*(F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in LANGUAGES)).first().asDict()
+    rows = each.where(F.col("bas") >= max(3, LOWER * sum(totals.values()))).collect()
+    return WordLanguages().fit({k: Counter({r.mot: r[k] for r in rows}) for k in LANGUAGES}, Counter({r.mot: r.bas for r in rows}), totals)
+
+
+def fit_copies(bubbles: DataFrame) -> Copies:
+    """From all pairs that may be copies, so from all that the two bounds decide: every given copy is within ``most``
+    and every answer that is none over ``sure``."""
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            d = b.to_pydict()
+            if pairs := {(p, a) for p, a in zip(d["ocr"], d["traduction"]) if _may_copy(p, a)}:
+                c = Copies().fit(sorted(pairs))
+                yield pa.RecordBatch.from_arrays([pa.array([c.sure], pa.int32()), pa.array([c.most], pa.int32())], names=["sure", "most"])
 
-def fit_copies(bubbles: DataFrame, sample: int = SAMPLE) -> Copies:
-    """From about ``sample`` pairs, those with the smallest hashed keys."""
-    both = bubbles.where("length(trim(ocr)) > 0 AND length(trim(traduction)) > 0").select("ocr", "traduction", F.shiftrightunsigned(F.xxhash64("bulle_id", F.lit(9)), 1).alias("h"))
-    share = sample / max(1, both.count())
-    few = both.where(F.col("h") / F.lit(float(1 << 63)) < F.lit(share)).collect()
-    return Copies().fit(sorted((r.ocr, r.traduction) for r in few))
+    pairs = bubbles.where("length(trim(ocr)) > 0 AND length(trim(traduction)) > 0").select("ocr", "traduction")
+    r = pairs.mapInArrow(fit, "sure int, most int").agg(F.min("sure").alias("sure"), F.max("most").alias("most")).first()
+    return Copies() if r.sure is None else Copies(r.sure, r.most)
 
 
 def defect(words: WordLanguages, copies: Copies, prompt: str | None, answer: str | None, source: str | None, target: str | None) -> str | None:
@@ -273,15 +302,15 @@ def defect(words: WordLanguages, copies: Copies, prompt: str | None, answer: str
     return kind if not kind or words.holds_words(prompt, source) else None
 
 
-def answer_defects(bubbles: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def answer_defects(bubbles: DataFrame) -> DataFrame:
     """``bulle_id, defaut`` of the defective bubbles."""
     from lutrin.llm import truncation
 
-    words = fit_languages(bubbles, sample)
+    words = fit_languages(bubbles)
     rows = bubbles.select(F.lit("bulles.traduction").alias("champ"), F.col("bulle_id").alias("cle"), F.col("canal").alias("source"), F.col("traduction").alias("texte"), "ocr", F.concat_ws(">", "langue_source", "langue_cible").alias("paire"))
     limits = materialise(truncation.source_limits(rows))
     model = truncation.fit_cutter(rows, limits)
-    copies = fit_copies(bubbles, sample)
+    copies = fit_copies(bubbles)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -289,7 +318,8 @@ def answer_defects(bubbles: DataFrame, sample: int = SAMPLE) -> DataFrame:
             d = b.to_pydict()
             for k, o, t, ls, lc, *limit in zip(d["bulle_id"], d["ocr"], d["traduction"], d["langue_source"], d["langue_cible"], d["lim_c"], d["lim_o"]):
                 kind = defect(words, copies, o, t, ls, lc)
-                if kind == "" and truncation.judge(model, tuple(limit), "bulles.traduction", t, o, None, f"{ls}>{lc}" if ls and lc else ls or lc or "")[1]:
+                # What ends with a stop is no cut bubble, whatever the model says of it.
+                if kind == "" and t[-1] not in truncation._STOP and truncation.judge(model, tuple(limit), "bulles.traduction", t, o, None, f"{ls}>{lc}" if ls and lc else ls or lc or "")[1]:
                     kind = "tronquee"
                 if kind:
                     keys.append(k)

@@ -137,3 +137,33 @@ def test_kinds_of_defect(spark, data):
     got = {r.bulle_id: r.defaut for r in A.answer_defects(all_).where("bulle_id < 1000").collect()}
     assert got == {1: "vide", 2: "refus", 3: "copie", 4: "autre_langue", 5: "tronquee"}
     assert A.answer_defects(all_.limit(0)).count() == 0
+
+
+def _bubbles(spark, pairs, path):
+    rows = [(k, "o", o, t, "pipeline", "en", "fr", "") for k, (o, t) in enumerate(pairs)]
+    spark.createDataFrame(rows, BUBBLES).repartition(3).write.parquet(str(path))
+    return spark.read.parquet(str(path))
+
+
+def test_bounds_of_copies_are_from_all_pairs(spark, tmp_path):
+    """One answer among 9,000 that is none but costs next to nothing, and one dear copy, count wherever they stand."""
+    plain = [(f"Where is lantern {k} of the harbour?", f"Où est passée la lanterne {k} du port ?") for k in range(9000)]
+    near, dear = ("DRIP", "PLIC"), ("石板はどこだ？", "石板どこだ？")
+    assert A._may_copy(*near) and not A._exactly(*near) and A._exactly(*dear)
+    for at in (17, 4444, 8888):
+        pairs = plain[:at] + [near, dear] + plain[at:]
+        c = A.fit_copies(_bubbles(spark, pairs, tmp_path / str(at)))
+        assert c.sure < A.extra(*near) and c.most >= A.extra(*dear)
+        assert c.found(*dear) and not c.found(*near)
+
+
+def test_word_languages_are_counted_in_all_texts(spark, tmp_path):
+    rows = [(f"where is lantern {k}", f"la lanterne {k} est là") for k in range(9000)] + [("nine zephyrs", "neuf zéphyrs")] * 3
+    some = A.fit_languages(_bubbles(spark, rows, tmp_path / "b"))
+    assert some.weights["zephyrs"][0] > 1 and some.weights["zéphyrs"][1] > 1  # three of 9,003 texts
+    rows += [("Ana lives", "Ana vit")] * 500 + [("ana lives", "ana vit")]
+    assert "ana" not in A.fit_languages(_bubbles(spark, rows, tmp_path / "c")).weights
+    counted = A.Counter(w.casefold() for p, _ in rows for w in A._WORDS.findall(p))
+    lower = A.Counter(w for r in rows for x in r for w in A._WORDS.findall(x) if w[0].islower())
+    whole = A.WordLanguages().fit({"en": counted, "fr": A.Counter(w.casefold() for _, t in rows for w in A._WORDS.findall(t))}, lower)
+    assert A.fit_languages(spark.read.parquet(str(tmp_path / "c"))).weights == whole.weights
